@@ -201,3 +201,130 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id for every document; 3-word shingles, at most 2 differing bits."""
     found = near_duplicates(read(spark, sf_dir, "documents"), shingle=3, seed=42, budget=2)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+WIDE = 4  # words of 64 bits in a wide signature
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th independent 64-bit stream of hashes (the splitmix64 finaliser)."""
+    with np.errstate(over="ignore"):
+        z = h + np.uint64((int(_MIX[0]) * (k + 1)) & (2**64 - 1))
+    z = (z ^ (z >> np.uint64(30))) * _MIX[1]
+    z = (z ^ (z >> np.uint64(27))) * _MIX[2]
+    return z ^ (z >> np.uint64(31))
+
+
+def signature(text: str | None, shingle: int = 5) -> np.ndarray:
+    """SimHash of ``WIDE`` * 64 bits over distinct lower-cased word shingles; zero for a text without words."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(WIDE, np.uint64)
+    joined = b" ".join(words)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    start = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
+    k = min(shingle, len(words))
+    ends = (start + size)[k - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    h = np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(start.tolist(), ends, strict=False)), np.uint64, len(ends)))
+    out = np.zeros(WIDE, np.uint64)
+    for w in range(WIDE):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), 65536):
+            bits = np.unpackbits(_mixed(h[at : at + 65536], w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int64 if len(bits) > 60000 else np.uint16)
+        out[w] = np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def differing(similarity: float) -> float:
+    """Expected share of differing bits of two shingle sets with that Jaccard similarity (or cosine 2J / (1 + J))."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.985) -> DataFrame:
+    """(id, component_id) by wide signatures: texts whose shingle sets have about ``similarity`` or more are linked.
+
+    Near-copies of similarity 0.8 differ in a tenth of the bits, beyond any budget that a single trie could
+    prune on. So the signature has 256 bits and there are several tries, each over its own order of the bits:
+    node pairs are pruned as soon as they differ within the top ``depth`` bits, and inside a node bits are added
+    up word by word until the budget (the expected number plus one standard deviation) is exceeded. The number of
+    tries is what finds a pair at the threshold with probability ``recall``; closer pairs are found more surely,
+    equal signatures always. Hot nodes are split into blocks as in :func:`links`. Null, empty and wordless texts
+    have the zero signature and link with each other. Rows with a null id get no component. An empty table gives
+    an empty result.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            s = np.stack([signature(t, shingle) for t in p["_text"]]) if len(p) else np.zeros((0, WIDE), np.uint64)
+            yield pd.DataFrame({"id": p["_id"]} | {f"s{k}": s[:, k].view(np.int64) if len(s) else [] for k in range(WIDE)})
+
+    words = [f"s{k}" for k in range(WIDE)]
+    src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_id is not null")
+    sigs = table(src.mapInPandas(run, "id long, " + ", ".join(f"{w} long" for w in words)), "signatures")
+    classes = table(sigs.groupBy(*words).agg(F.min("id").alias("rep")), "classes")
+    n, total = classes.count(), 64 * WIDE
+    depth = max(1, min(DEEPEST, ceil(log2(max(n, 2) / NODE)))) if n > NODE else 1
+    off = differing(similarity)
+    budget = int(total * off + np.sqrt(total * off * (1 - off)))
+    tries = ceil(np.log(1 - recall) / np.log(1 - (1 - off) ** depth))
+    rng = np.random.default_rng(11)
+    orders = [rng.choice(total, depth, replace=False) for _ in range(tries)]
+
+    def top(order: np.ndarray):
+        bit = lambda p: F.shiftrightunsigned(f"s{p // 64}", int(p % 64)).bitwiseAND(F.lit(1))
+        out = bit(int(order[0]))
+        for p in order[1:]:
+            out = out * 2 + bit(int(p))
+        return out
+
+    nodes = F.explode(F.array(*[F.struct(F.lit(t).alias("trie"), top(o).cast("long").alias("node")) for t, o in enumerate(orders)]))
+    placed = classes.select(*words, "rep", nodes.alias("at")).select("at.trie", "at.node", *words, "rep")
+    hot = placed.groupBy("trie", "node").count().where(F.col("count") > BLOCK)
+    hot = hot.select("trie", "node", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    seen = placed.join(hot, ["trie", "node"], "left").withColumn("of", F.pmod(F.xxhash64(*words), F.coalesce("blocks", F.lit(1))).cast("int"))
+    seen = seen.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("of"))))
+    seen = seen.select("trie", "node", "block", *words, "rep", (F.col("of") == F.col("block")).alias("owner"))
+
+    def meet(p: pd.DataFrame) -> pd.DataFrame:
+        s = np.stack([p[w].to_numpy(np.int64, copy=True).view(np.uint64) for w in words], axis=1)
+        owner = p["owner"].to_numpy(bool)
+        order = np.argsort(~owner, kind="stable")
+        s, rep, own = s[order], p["rep"].to_numpy()[order], int(owner.sum())
+        ii, jj = [], []
+        step = max(1, AT_ONCE // max(own, 1))
+        for at in range(0, len(s), step):
+            j, i = np.divmod(np.arange(min(step, len(s) - at) * own), max(own, 1))
+            j += at
+            i, j = i[i < j], j[i < j]
+            dist = np.zeros(len(i), np.int64)
+            for w in range(WIDE):
+                dist += np.bitwise_count(s[i, w] ^ s[j, w])
+                near = dist <= budget
+                i, j, dist = i[near], j[near], dist[near]
+            ii.append(i)
+            jj.append(j)
+        none = np.empty(0, np.int64)
+        by = np.argsort(rep, kind="stable")
+        place = np.empty(len(s), np.int64)
+        place[by] = np.arange(len(s))
+        root = rep[by][local_stars(len(s), place[np.concatenate([none, *ii])], place[np.concatenate([none, *jj])])][place]
+        moved = root != rep
+        return pd.DataFrame({"a": rep[moved], "b": root[moved]})
+
+    stars = table(seen.groupBy("trie", "node", "block").applyInPandas(meet, "a long, b long"), "stars")
+    comp = components(stars)
+    named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    named = table(named.select(*words, F.coalesce("component", "rep").alias("component_id")), "named")
+    drop(classes, stars, comp)
+    return sigs.join(named, words, "left").select("id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without those that :func:`similar` groups with a smaller id; all columns stay. Rows with a null id stay."""
+    gone = similar(docs, id_col, text_col, **options).where("id != component_id").select(F.col("id").alias("_gone"))
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
