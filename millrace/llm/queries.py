@@ -1,13 +1,19 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 from millrace.llm.embeddings import op3_embeddings
+from millrace.llm.lines import op2_line_dedup
 from millrace.llm.packing import op1_packing
+from millrace.llm.secrets import op6_secrets
 from millrace.llm.simhash import op5_simhash
+from millrace.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_line_dedup": op2_line_dedup,
     "op3_embeddings": op3_embeddings,
     "op5_simhash": op5_simhash,
+    "op6_secrets": op6_secrets,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
