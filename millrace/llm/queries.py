@@ -5,6 +5,7 @@ from millrace.llm.lines import op2_line_dedup
 from millrace.llm.media import op10_media
 from millrace.llm.packing import op1_packing
 from millrace.llm.secrets import op6_secrets
+from millrace.llm.sentencepiece import op4_sentencepiece
 from millrace.llm.simhash import op5_simhash
 from millrace.llm.toxicity import op8_toxicity
 from millrace.llm.urls import OP9_SQL, op9_urls
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
     "op3_embeddings": op3_embeddings,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
     "op7_warc": op7_warc,
