@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +54,6 @@ def parameter_counts(c: Column | str) -> Column:
 
 def method_lengths(c: Column | str) -> Column:
     """Lines of each method, from its header to the brace that closes it (an Arrow function: offsets are needed)."""
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
     def lengths(texts: pd.Series) -> pd.Series:
         import re
@@ -153,8 +152,6 @@ def refactoring_quality(non_empty: Column, differs: Column, similarity: Column,
 
 def edit_similarity(a: Column | str, b: Column | str) -> Column:
     """Ratio of matching blocks of two texts, as the standard library's difflib counts it (an Arrow function)."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,9 @@ def hashed_embedding(c: Column | str, dim: int = 64) -> Column:
     zero = F.array_repeat(F.lit(0.0), dim)
     add = lambda v, t: F.transform(v, lambda x, k: x + F.when(k == t["idx"], t["sign"]).otherwise(0.0))
     raw = F.aggregate(hashed_terms(c, dim), zero, add)
-    return F.transform(F.array(raw), lambda v: F.transform(v, lambda x: F.when(norm(v) == 0, 0.0).otherwise(x / norm(v))))[0]
+    # transform over one-element arrays names the vector and its norm once
+    sized = F.transform(F.array(raw), lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    return F.transform(sized, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] == 0, 0.0).otherwise(x / s["n"])))[0]
 
 
 def embed_query(text: str, dim: int = 64) -> list[float]:
@@ -70,8 +73,6 @@ def embed_query(text: str, dim: int = 64) -> list[float]:
 
 def low_rank_norm(a: Column | str, b: Column | str) -> Column:
     """Frobenius norm of the product BA of two matrices (arrays of rows), in an Arrow function."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def size(x: pd.Series, y: pd.Series) -> pd.Series:
         import numpy as np

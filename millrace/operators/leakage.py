@@ -62,9 +62,14 @@ def require_disjoint(df: DataFrame, group: str, partition: str) -> None:
 
 def shingles(text: Column, n: int = 8) -> Column:
     """Distinct word n-grams of a text, joined by spaces; empty for shorter texts."""
-    w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-    starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda k: F.array_join(F.slice(w, k, n), " ")))
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+
+    def grams(w: Column) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.array_join(F.slice(w, k, n), " "))
+
+    # transform over a one-element array, so the words are split once and not for each n-gram
+    return F.array_distinct(F.flatten(F.transform(F.array(words), grams)))
 
 
 def passage_overlaps(docs: DataFrame, benchmark: DataFrame, n: int = 8, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
