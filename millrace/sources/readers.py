@@ -44,8 +44,9 @@ def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of whole-file JSON: those of a list, of an object's first list, or the object itself."""
     files = spark.read.text(path, wholetext=True).withColumn("source_file", F.col("_metadata.file_path"))
     v = files.withColumn("v", F.try_parse_json("value"))
-    keys = F.json_object_keys("value")
-    first = F.filter(F.transform(keys, lambda k: F.get_json_object("value", F.concat(F.lit("$['"), k, F.lit("']")))), lambda x: F.startswith(F.ltrim(x), F.lit("[")))
+    # members in their order; get_json_object takes a path column in SQL alone
+    members = F.expr("transform(json_object_keys(value), k -> get_json_object(value, concat('$[\\'', k, '\\']')))")
+    first = F.filter(members, lambda x: F.startswith(F.ltrim(x), F.lit("[")))
     whole = F.when(F.startswith(strip("value"), F.lit("[")), F.col("value")).when(F.size(first) > 0, F.get(first, F.lit(0))).otherwise(F.concat(F.lit("["), F.col("value"), F.lit("]")))
     rows = v.select("source_file", F.posexplode(F.from_json(whole, f"array<struct<{schema}>>")).alias("ordinal", "r"))
     return rows.select("r.*", "source_file", "ordinal")
