@@ -31,30 +31,86 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(docs: DataFrame, size: int = 4096, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Token pieces of at most ``size`` ids: id, piece, start, length, ids_crc32 and, on demand, token_ids.
+class Coder:
+    """Token ids of texts as little-endian bytes, with a memo of words that lives as long as the worker.
 
-    A document's ids are those of its text without special tokens, then ``end_id``; a null or empty text
-    has ``end_id`` alone. Only longer documents are cut. The tokenizer file is read by each worker.
+    The tokenizer drops white space, never joins across it and ignores the case of A-Z, so a text's ids are those of its
+    words between spaces and line feeds, one after another. Words that end in one full stop or comma after a
+    letter are looked up without it. :func:`coder` checks these properties of the tokenizer file and hands whole
+    texts to the tokenizer where they don't hold.
     """
-    path = tokenizer or tokenizer_path()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    KEPT = 600_000
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
+        self.tok, self.memo = Tokenizer.from_file(path), {}
+        probe = "Ab, c.\nD  e'll F. 7x"
+        self.by_word = self.whole([probe]) == [b"".join(self.whole(probe.lower().replace("\n", " ").split(" ")))] and self.whole([" "]) == [b""]
+        self.stops = {x: self.whole([x.decode()])[0] for x in (b".", b",")}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[bytes]) -> None:
+        memo = self.memo
+        bare = {w: w[:-1] if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122 else w for w in words}
+        new = list({b for b in bare.values() if b not in memo})
+        for at in range(0, len(new), 1024):
+            memo.update(zip(new[at : at + 1024], self.whole([b.decode() for b in new[at : at + 1024]]), strict=True))
+        for w, b in bare.items():
+            if w != b:
+                memo[w] = memo[b] + self.stops[w[-1:]]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return self.whole(texts)
+        out = []
+        for t in texts:
+            words = t.encode("utf-8", "replace").lower().replace(b"\n", b" ").split(b" ")
+            missing = set(words).difference(self.memo)
+            if missing:
+                if len(self.memo) > self.KEPT:
+                    self.memo.clear()
+                    missing = set(words)
+                self.learn(missing)
+            out.append(b"".join(map(self.memo.__getitem__, words)))
+        return out
+
+
+_CODERS: dict[str, Coder] = {}
+
+
+def coder(path: str) -> Coder:
+    """The worker's coder for a tokenizer file; made once."""
+    if path not in _CODERS:
+        _CODERS[path] = Coder(path)
+    return _CODERS[path]
+
+
+def pieces(docs: DataFrame, size: int = 4096, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Token pieces of at most ``size`` ids: id, piece, start, length, ids_crc32 and, on demand, token_ids.
+
+    A document's ids are those of its text without special tokens, then ``end_id``; a null or empty text
+    has ``end_id`` alone. Only longer documents are cut. The tokenizer file is read once by each worker.
+    """
+    path = tokenizer or tokenizer_path()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code = coder(path)
         for p in parts:
             rows: list[tuple] = []
             texts = [t if isinstance(t, str) else "" for t in p["_text"]]
-            for at in range(0, len(texts), 64):
-                for key, enc in zip(p["_id"].iloc[at : at + 64], tok.encode_batch_fast(texts[at : at + 64], add_special_tokens=False), strict=True):
-                    ids = np.array([*enc.ids, end_id], "<u4")
-                    for k, start in enumerate(range(0, len(ids), size)):
-                        part = ids[start : start + size]
-                        rows.append((key, k, start, len(part), zlib.crc32(part.tobytes()), *([part.astype(np.int64)] if with_ids else [])))
+            for at in range(0, len(texts), 128):
+                for key, ids in zip(p["_id"].iloc[at : at + 128], code(texts[at : at + 128]), strict=True):
+                    ids += end_id.to_bytes(4, "little")
+                    for k, start in enumerate(range(0, len(ids), 4 * size)):
+                        part = ids[start : start + 4 * size]
+                        rows.append((key, k, start // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int64)] if with_ids else [])))
             yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", *(["token_ids"] if with_ids else [])])
 
     src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
