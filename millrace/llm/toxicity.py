@@ -91,12 +91,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000, min_support: int = 4, max_terms: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000, min_support: int = 4, max_terms: int = 20_000, min_weight: float = 2.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """Fit a lexicon on the labelled rows that are not held out.
 
-    At most about ``max_labelled`` of them are used, chosen by a hash of the id, so the join with texts is
-    a broadcast of bounded size. Of several labels of an id the largest counts; null labels and ids are
-    left out. Without toxic rows the lexicon is empty and the curve gives a low constant.
+    At most about ``max_labelled`` of them are used, chosen by a hash of the id, so the join with texts is a broadcast
+    of bounded size. Terms below ``min_weight`` are left out: rare words that copies or chance put into toxic texts. Of
+    several labels of an id the largest counts; null labels and ids are left out. Without toxic rows the lexicon is
+    empty and the curve gives a low constant.
     """
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     y = y.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
@@ -108,7 +109,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000, min_su
     train = table(got.select("_y", lines.alias("lines")), "toxic-train")
 
     words = F.filter(F.split(F.trim("line"), " "), lambda w: w != "")
-    cut = [F.transform(F.filter("words", lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in PREFIXES]
+    def prefixes(k: int) -> Column:
+        return F.transform(F.filter("words", lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+
+    cut = [prefixes(k) for k in PREFIXES]
     terms = F.explode(F.array_distinct(F.concat(F.col("words"), *cut))).alias("term")
     toxic = train.where("_y = 1").select(F.explode("lines").alias("line")).distinct()
     clean = train.where("_y = 0").select(F.explode("lines").alias("line"))
@@ -119,7 +123,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000, min_su
     counted = support.join(against, "term", "left").na.fill(0, ["n"]).toPandas()  # at most max_terms rows
     t, c = counted["t"].to_numpy(float) + 0.5, counted["n"].to_numpy(float) + 0.5
     w = np.log(t / (n_toxic + 1)) - np.log(c / (n_clean + 1)) - 2 * np.sqrt(1 / t + 1 / c)
-    lex = Lexicon({k: float(v) for k, v in zip(counted["term"], w, strict=True) if v >= 1})
+    lex = Lexicon({k: float(v) for k, v in zip(counted["term"], w, strict=True) if v >= min_weight})
 
     def around(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         auto = lex.automaton()
