@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import code, text, vector
@@ -282,7 +282,8 @@ def dedup_counts(spark: SparkSession, d: str) -> DataFrame:
     return index.dedup_counts(read(spark, d, "documents"), "text", "source")
 
 
-_KINDS = {"full_text": text.content_identity("text"), "head": F.sha2(F.substring("text", 1, 60), 256)}
+def _kinds() -> dict[str, Column]:
+    return {"full_text": text.content_identity("text"), "head": F.sha2(F.substring("text", 1, 60), 256)}
 
 
 @query(f"""WITH k AS (SELECT doc_id, unnest([{{'kind': 'full_text', 'key': sha256({norm('text')})}}, {{'kind': 'head', 'key': sha256(substring(text, 1, 60))}}]) AS p FROM documents)
@@ -291,7 +292,7 @@ FROM k a JOIN k b ON a.p = b.p AND a.doc_id % 10 <> 0 AND b.doc_id % 10 = 0 GROU
 def multi_key_leakage(spark: SparkSession, d: str) -> DataFrame:
     """Every tenth document plays the reserved benchmark; which others share a key with it, and which keys."""
     t = read(spark, d, "documents")
-    a, b = leakage.keys(t.where("doc_id % 10 <> 0"), "doc_id", _KINDS), leakage.keys(t.where("doc_id % 10 = 0"), "doc_id", _KINDS)
+    a, b = leakage.keys(t.where("doc_id % 10 <> 0"), "doc_id", _kinds()), leakage.keys(t.where("doc_id % 10 = 0"), "doc_id", _kinds())
     return leakage.overlaps(a, b).select("indexed_id", "benchmark_id", F.array_join("matched_by", ",").alias("matched_by"))
 
 
@@ -300,7 +301,7 @@ AND sha256({norm('text')}) NOT IN (SELECT sha256({norm('text')}) FROM b) AND sub
 def disjoint_selection(spark: SparkSession, d: str) -> DataFrame:
     t = read(spark, d, "documents")
     a, b = t.where("doc_id % 10 <> 0"), t.where("doc_id % 10 = 0")
-    hit = leakage.touched(leakage.keys(a, "doc_id", _KINDS), leakage.keys(b, "doc_id", _KINDS))
+    hit = leakage.touched(leakage.keys(a, "doc_id", _kinds()), leakage.keys(b, "doc_id", _kinds()))
     return a.join(hit.withColumnRenamed("id", "doc_id"), "doc_id", "left_anti").select("doc_id")
 
 
