@@ -32,7 +32,7 @@ def duck():
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, duck, name):
-    if name == "balanced_mix" and duck.sql("SELECT min(n) FROM (SELECT count(*) AS n FROM documents WHERE lang IN ('en', 'de') GROUP BY lang)").fetchone()[0] < 50:
+    if name == "balanced_mix" and duck.sql("SELECT min(n) FROM (SELECT count(*) AS n FROM documents WHERE lang IN ('en', 'de') GROUP BY lang)").fetchall()[0][0] < 50:
         pytest.skip("too few rows at this size")
     got = catalogue.QUERIES[name](spark, SF)
     rows = got.collect()
