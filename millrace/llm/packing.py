@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,7 @@ class Coder:
     texts to the tokenizer where they don't hold.
     """
 
-    KEPT = 600_000
+    KEPT = 800_000
 
     def __init__(self, path: str):
         import os
@@ -70,15 +71,17 @@ class Coder:
         if not self.by_word:
             return self.whole(texts)
         out = []
-        for t in texts:
-            words = t.encode("utf-8", "replace").lower().replace(b"\n", b" ").split(b" ")
-            missing = set(words).difference(self.memo)
+        for at in range(0, len(texts), 32):
+            split = [t.encode("utf-8", "replace").lower().replace(b"\n", b" ").split(b" ") for t in texts[at : at + 32]]
+            missing = set().union(*split).difference(self.memo)
             if missing:
                 if len(self.memo) > self.KEPT:
-                    self.memo.clear()
-                    missing = set(words)
+                    # common words came first, and a dict keeps its order
+                    self.memo = dict(islice(self.memo.items(), self.KEPT // 2))
+                    missing = set().union(*split).difference(self.memo)
                 self.learn(missing)
-            out.append(b"".join(map(self.memo.__getitem__, words)))
+            get = self.memo.__getitem__
+            out += [b"".join(map(get, words)) for words in split]
         return out
 
 
