@@ -283,10 +283,10 @@ def dedup_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _kinds() -> dict[str, Column]:
-    return {"full_text": text.content_identity("text"), "head": F.sha2(F.substring("text", 1, 60), 256)}
+    return {"full_text": text.content_identity("text"), "folded": F.sha2(F.lower(text.normalize_text("text")), 256)}
 
 
-@query(f"""WITH k AS (SELECT doc_id, unnest([{{'kind': 'full_text', 'key': sha256({norm('text')})}}, {{'kind': 'head', 'key': sha256(substring(text, 1, 60))}}]) AS p FROM documents)
+@query(f"""WITH k AS (SELECT doc_id, unnest([{{'kind': 'full_text', 'key': sha256({norm('text')})}}, {{'kind': 'folded', 'key': sha256(lower({norm('text')}))}}]) AS p FROM documents)
 SELECT a.doc_id AS indexed_id, b.doc_id AS benchmark_id, string_agg(a.p.kind, ',' ORDER BY a.p.kind) AS matched_by
 FROM k a JOIN k b ON a.p = b.p AND a.doc_id % 10 <> 0 AND b.doc_id % 10 = 0 GROUP BY 1, 2""")
 def multi_key_leakage(spark: SparkSession, d: str) -> DataFrame:
@@ -297,7 +297,7 @@ def multi_key_leakage(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH b AS (SELECT * FROM documents WHERE doc_id % 10 = 0) SELECT doc_id FROM documents WHERE doc_id % 10 <> 0
-AND sha256({norm('text')}) NOT IN (SELECT sha256({norm('text')}) FROM b) AND substring(text, 1, 60) NOT IN (SELECT substring(text, 1, 60) FROM b)""")
+AND sha256({norm('text')}) NOT IN (SELECT sha256({norm('text')}) FROM b) AND sha256(lower({norm('text')})) NOT IN (SELECT sha256(lower({norm('text')})) FROM b)""")
 def disjoint_selection(spark: SparkSession, d: str) -> DataFrame:
     t = read(spark, d, "documents")
     a, b = t.where("doc_id % 10 <> 0"), t.where("doc_id % 10 = 0")
@@ -386,20 +386,21 @@ def split_stats(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("lang").alias("split"), "n", F.round("avg_input", 4).alias("avg_input"), F.round("avg_output", 4).alias("avg_output"))
 
 
-_MODULES = f"""WITH m AS (SELECT label, vec_id % 50 AS key, row_number() OVER (PARTITION BY label, vec_id % 50 ORDER BY vec_id) AS rn, embedding::DOUBLE[] AS embedding FROM embeddings WHERE label IN (0, 1, 2)),
-o AS (SELECT label, key, embedding FROM m WHERE rn = 1),
-p AS (SELECT a.label AS l, b.label AS r, a.key, a.embedding, b.embedding AS qe FROM o a JOIN o b ON a.key = b.key AND (a.label, b.label) IN ((0, 1), (0, 2), (1, 2))),
+_MODULES = f"""WITH o AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS key, embedding::DOUBLE[] AS embedding FROM embeddings),
+p AS (SELECT a.label AS l, b.label AS r, a.key, a.embedding, b.embedding AS qe FROM o a JOIN o b ON a.key = b.key AND a.label < b.label),
 c AS (SELECT l, r, key, {_COS} AS cosine, {_L2} AS l2 FROM p)"""
 
 
 @query(_MODULES + """ SELECT l::VARCHAR AS "left", r::VARCHAR AS "right", CAST(key % 5 AS BIGINT) AS layer, count(*) AS n, round(avg(cosine), 6) AS mean_cosine, round(median(cosine), 6) AS median_cosine, round(avg(l2), 6) AS mean_l2
 FROM c GROUP BY GROUPING SETS ((l, r, key % 5), (l, r))""")
 def pairwise_similarity_by_group(spark: SparkSession, d: str) -> DataFrame:
-    """Labels play the models, ids modulo 50 the modules, modulo 5 the layers."""
-    e = read(spark, d, "embeddings").where("label IN (0, 1, 2)").withColumn("module_key", F.col("vec_id") % 50)
-    one = e.groupBy("label", "module_key").agg(F.min_by("embedding", "vec_id").alias("vector")).select(F.col("label").cast("string").alias("model"), "module_key", "vector")
-    pairs = evaluate.pair_similarity(one, [("0", "1"), ("0", "2"), ("1", "2")]).withColumn("layer", F.col("module_key") % 5)
-    r = evaluate.similarity_levels(pairs, "layer")
+    """Labels play the models, places within a label the modules, places modulo 5 the layers."""
+    e = prep.ranks(read(spark, d, "embeddings"), ["vec_id"], "module_key", by=["label"])
+    one = e.select(F.col("label").cast("string").alias("model"), "module_key", F.col("embedding").alias("vector"))
+    labels = [str(r[0]) for r in e.select("label").distinct().orderBy("label").limit(1000).collect()]  # the models of a study are few
+    pairs = [(a, b) for k, a in enumerate(labels) for b in labels[k + 1 :]]
+    rows = evaluate.pair_similarity(one, pairs).withColumn("layer", F.col("module_key") % 5)
+    r = evaluate.similarity_levels(rows, "layer")
     return r.select("left", "right", "layer", "n", *[F.round(c, 6).alias(c) for c in ("mean_cosine", "median_cosine", "mean_l2")])
 
 
