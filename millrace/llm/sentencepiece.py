@@ -171,8 +171,8 @@ def segment(units: DataFrame, pieces: Pieces, bpe: bool | None = None) -> DataFr
     subs = subs.withColumn("piece", F.substring("unit", F.col("s") + 1, F.col("e") - F.col("s")))
     if pieces.bpe if bpe is None else bpe:
         code = F.shiftleft(F.col("s").cast("long"), 24) + F.shiftleft((F.col("e") - F.col("s")).cast("long"), 18) + F.col("id")
-        # the left join keeps units none of whose characters has a piece
-        lattice = subs.join(vocabulary, "piece", "left").groupBy("unit").agg(F.collect_list(code).alias("edges"))
+        # single characters stay, with or without a piece, so that every unit has edges
+        lattice = subs.join(vocabulary, "piece", "left").where("id IS NOT NULL OR e = s + 1").groupBy("unit").agg(F.collect_list(code).alias("edges"))
 
         @F.pandas_udf("array<int>")
         def merged(unit: pd.Series, edges: pd.Series) -> pd.Series:
@@ -237,7 +237,9 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
                 yield pd.DataFrame({"block": block, "unit": found[at : at + 100_000]})
 
     used = table(src.select("block", "text").mapInPandas(distinct, "block long, unit string"), "units")
-    known = table(segment(used.select("unit").distinct(), pieces), "segments")
+    # grouping edges sorts them, so partitions are kept small enough for memory
+    parts = max(1, used.count() // 40_000)
+    known = table(segment(used.select("unit").repartition(parts, "unit").distinct(), pieces), "segments")
     packed = used.join(known, "unit").select("block", "unit", F.col("ids").alias("ids"))
     path = used._millrace_path.replace("/units-", "/dictionary-")
     packed.repartition("block").write.partitionBy("block").parquet(path)
