@@ -141,7 +141,7 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of ids: pieces joined, bytes put back, spaces unescaped, the space in front dropped."""
-        data = b"".join(self._bytes[i] for i in ids)
+        data = b"".join(map(self._bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
         text = data.decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
