@@ -108,24 +108,33 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000, min_su
     got = docs.select(F.col(id_col).alias("_id"), text_col).join(F.broadcast(y), "_id")
     train = table(got.select("_y", lines.alias("lines")), "toxic-train")
 
-    words = F.filter(F.split(F.trim("line"), " "), lambda w: w != "")
-    def term(w: Column, t: Column) -> Column:
-        return F.struct(t.alias("term"), w.alias("word"))
+    words = F.array_distinct(F.filter(F.split(F.trim("line"), " "), lambda w: w != ""))
+
+    def prefix(w: Column, k: int) -> Column:
+        return F.concat(F.substring(w, 1, k), F.lit("*"))
+
+    def longer(k: int) -> Column:
+        return F.filter("words", lambda w: F.length(w) > k)
 
     def prefixes(k: int) -> Column:
-        return F.transform(F.filter("words", lambda w: F.length(w) > k), lambda w: term(w, F.concat(F.substring(w, 1, k), F.lit("*"))))
+        return F.transform(longer(k), lambda w: prefix(w, k))
+
+    def pairs(k: int) -> Column:
+        return F.transform(longer(k), lambda w: F.struct(prefix(w, k).alias("term"), w.alias("word")))
 
-    whole = F.transform("words", lambda w: term(w, w))
-    terms = F.explode(F.array_distinct(F.concat(whole, *[prefixes(k) for k in PREFIXES]))).alias("p")
+    # a line counts once for each of its different words
+    terms = F.explode(F.concat(F.col("words"), *[prefixes(k) for k in PREFIXES])).alias("term")
+    whole = F.transform("words", lambda w: F.struct(w.alias("term"), w.alias("word")))
+    named = F.explode(F.concat(whole, *[pairs(k) for k in PREFIXES])).alias("p")
     toxic = train.where("_y = 1").select(F.explode("lines").alias("line")).distinct()
     clean = train.where("_y = 0").select(F.explode("lines").alias("line"))
     n_toxic, n_clean = toxic.count(), clean.count()
     # a prefix stands for different words; that of a single word would only blur it
-    support = toxic.select(words.alias("words")).select(terms).select("p.*").groupBy("term")
+    support = toxic.select(words.alias("words")).select(named).select("p.*").groupBy("term")
     support = support.agg(F.count("*").alias("t"), (F.min("word") != F.max("word")).alias("varied")).where(F.col("t") >= min_support)
     support = support.where(~F.endswith("term", F.lit("*")) | F.col("varied")).select("term", "t")
     support = table(support.orderBy(F.desc("t"), "term").limit(max_terms), "toxic-terms")
-    against = clean.select(words.alias("words")).select(terms).select("p.term").join(F.broadcast(support), "term").groupBy("term").agg(F.count("*").alias("n"))
+    against = clean.select(words.alias("words")).select(terms).join(F.broadcast(support), "term").groupBy("term").agg(F.count("*").alias("n"))
     counted = support.join(against, "term", "left").na.fill(0, ["n"]).toPandas()  # at most max_terms rows
     t, c = counted["t"].to_numpy(float) + 0.5, counted["n"].to_numpy(float) + 0.5
     w = np.log(t / (n_toxic + 1)) - np.log(c / (n_clean + 1)) - 2 * np.sqrt(1 / t + 1 / c)
