@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, log2
+from math import ceil, comb, log2
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,8 @@ from millrace.llm.common import drop, read, table
 from millrace.llm.graph import components, local_stars
 
 NODE, BLOCK, DEEPEST = 256, 4096, 24
+#: Classes of a candidate group that a task compares with all others of the group.
+EXACT = 256
 #: Index pairs that a step of the local walk compares at once.
 AT_ONCE = 1 << 20
 
@@ -216,21 +218,31 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def signature(text: str | None, shingle: int = 5) -> np.ndarray:
-    """SimHash of ``WIDE`` * 64 bits over distinct lower-cased word shingles; zero for a text without words."""
+def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of lower-cased word shingles; a shorter text is one shingle, a wordless one none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return np.zeros(WIDE, np.uint64)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     start = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
     k = min(shingle, len(words))
     ends = (start + size)[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(start.tolist(), ends, strict=False)), np.uint64, len(ends)))
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(start.tolist(), ends, strict=False)), np.uint64, len(ends)))
+
+
+def signature(text: str | None, shingle: int = 5) -> np.ndarray:
+    """SimHash of ``WIDE`` * 64 bits over distinct lower-cased word shingles; zero for a text without words."""
+    return _signed(shingles(text, shingle))
+
+
+def _signed(h: np.ndarray) -> np.ndarray:
     out = np.zeros(WIDE, np.uint64)
+    if not len(h):
+        return out
     for w in range(WIDE):
         ones = np.zeros(64, np.int64)
         for at in range(0, len(h), 65536):
@@ -240,38 +252,58 @@ def signature(text: str | None, shingle: int = 5) -> np.ndarray:
     return out
 
 
+def _digest(h: np.ndarray) -> bytes:
+    """128 bits that stand for a whole shingle set."""
+    import hashlib
+
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
 def differing(similarity: float) -> float:
     """Expected share of differing bits of two shingle sets with that Jaccard similarity (or cosine 2J / (1 + J))."""
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def within(budget: int, off: float, total: int = 64 * WIDE) -> float:
+    """Probability that of ``total`` bits, each different with probability ``off``, at most ``budget`` differ."""
+    return sum(comb(total, k) * off**k * (1 - off) ** (total - k) for k in range(budget + 1))
+
+
+def plan(similarity: float, recall: float, depth: int) -> tuple[int, int]:
+    """Budget of differing bits (mean + 3 standard deviations at ``similarity``) and number of tries, such that a pair
+    of that similarity is within the budget and meets in a trie with probability ``recall``."""
+    off, total = differing(similarity), 64 * WIDE
+    budget = int(total * off + 3 * np.sqrt(total * off * (1 - off)))
+    meets = min(recall / within(budget, off), 1 - 1e-6)
+    return budget, max(1, ceil(np.log(1 - meets) / np.log(1 - (1 - off) ** depth)))
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.985) -> DataFrame:
-    """(id, component_id) by wide signatures: texts whose shingle sets have about ``similarity`` or more are linked.
-
-    Near-copies of similarity 0.8 differ in a tenth of the bits, beyond any budget that a single trie could
-    prune on. So the signature has 256 bits and there are several tries, each over its own order of the bits:
-    node pairs are pruned as soon as they differ within the top ``depth`` bits, and inside a node bits are added
-    up word by word until the budget (the expected number plus one standard deviation) is exceeded. The number of
-    tries is what finds a pair at the threshold with probability ``recall``; closer pairs are found more surely,
-    equal signatures always. Hot nodes are split into blocks as in :func:`links`. Null, empty and wordless texts
-    have the zero signature and link with each other. Rows with a null id get no component. An empty table gives
-    an empty result.
+    """(id, component_id): texts whose shingle sets have a Jaccard similarity of at least ``similarity`` are linked.
+
+    Wide signatures find candidates, the shingle sets decide. Near-copies of similarity 0.8 differ in a tenth of the
+    bits and more, beyond any budget that a single trie could prune on. So the signature has 256 bits and there are several
+    tries, each over its own sample of the bits: texts that agree in a sample are compared word by word until the budget
+    (three standard deviations above the expected number, see :func:`plan`) is exceeded. The number of tries is what finds
+    a pair at the threshold with probability ``recall``, budget included; closer pairs are found more surely, equal sets
+    always. Hot nodes are split into blocks as in :func:`links`. The candidates' groups are then linked anew by the exact
+    similarity alone (:func:`exact`). Null, empty and wordless texts have the empty set and link with each other. Rows
+    with a null id get no component. An empty table gives an empty result.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            s = np.stack([signature(t, shingle) for t in p["_text"]]) if len(p) else np.zeros((0, WIDE), np.uint64)
-            yield pd.DataFrame({"id": p["_id"]} | {f"s{k}": s[:, k].view(np.int64) if len(s) else [] for k in range(WIDE)})
+            sets = [shingles(t, shingle) for t in p["_text"]]
+            s = np.stack([_signed(h) for h in sets]) if len(p) else np.zeros((0, WIDE), np.uint64)
+            yield pd.DataFrame({"id": p["_id"], "digest": [_digest(h) for h in sets]} | {f"s{k}": s[:, k].view(np.int64) if len(s) else [] for k in range(WIDE)})
 
     words = [f"s{k}" for k in range(WIDE)]
     src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_id is not null")
-    sigs = table(src.mapInPandas(run, "id long, " + ", ".join(f"{w} long" for w in words)), "signatures")
-    classes = table(sigs.groupBy(*words).agg(F.min("id").alias("rep")), "classes")
+    sigs = table(src.mapInPandas(run, "id long, digest binary, " + ", ".join(f"{w} long" for w in words)), "signatures")
+    classes = table(sigs.groupBy("digest", *words).agg(F.min("id").alias("rep")), "classes")
     n, total = classes.count(), 64 * WIDE
     depth = max(1, min(DEEPEST, ceil(log2(max(n, 2) / NODE)))) if n > NODE else 1
-    off = differing(similarity)
-    budget = int(total * off + np.sqrt(total * off * (1 - off)))
-    tries = ceil(np.log(1 - recall) / np.log(1 - (1 - off) ** depth))
+    budget, tries = plan(similarity, recall, depth)
     rng = np.random.default_rng(11)
     orders = [rng.choice(total, depth, replace=False) for _ in range(tries)]
 
@@ -317,11 +349,75 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         return pd.DataFrame({"a": rep[moved], "b": root[moved]})
 
     stars = table(seen.groupBy("trie", "node", "block").applyInPandas(meet, "a long, b long"), "stars")
-    comp = components(stars)
-    named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    named = table(named.select(*words, F.coalesce("component", "rep").alias("component_id")), "named")
-    drop(classes, stars, comp)
-    return sigs.join(named, words, "left").select("id", "component_id")
+    maybe = components(stars)
+    grouped = table(classes.select("digest", "rep").join(maybe.withColumnRenamed("node", "rep"), "rep"), "candidates")
+    edges = exact(src, grouped, shingle, similarity)
+    comp = components(edges)
+    named = classes.select("digest", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    named = table(named.select("digest", F.coalesce("component", "rep").alias("component_id")), "named")
+    drop(classes, stars, maybe, grouped, edges, comp)
+    return sigs.join(named, "digest", "left").select("id", "component_id")
+
+
+def exact(src: DataFrame, grouped: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) with the components of all pairs of a candidate group whose exact similarity is high enough.
+
+    ``src``: (_id, _text). ``grouped``: (digest, rep, component), the classes that have a candidate. Each class is
+    compared with its group's first class; those not similar to it are compared with every other class of the group, in
+    blocks of about ``EXACT`` of them, so that a large group of near-copies costs one comparison for each.
+    """
+
+    def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            sets = [shingles(t, shingle) for t in p["_text"]]
+            same = np.array([_digest(h) == d for h, d in zip(sets, p["digest"], strict=True)], bool)  # an id may have several texts
+            yield pd.DataFrame({c: p[c] for c in ("component", "rep", "digest")} | {"hashes": [h.view(np.int64) for h in sets]})[same]
+
+    texts = src.join(grouped, F.col("_id") == F.col("rep")).select("component", "rep", "digest", "_text")
+    loaded = table(texts.mapInPandas(load, "component long, rep long, digest binary, hashes array<long>").dropDuplicates(["component", "rep", "digest"]), "shingles")
+    first = loaded.where("rep = component").groupBy("component").agg(F.min(F.struct("digest", "hashes")).alias("f"))
+    both = loaded.join(first, "component").where("digest != f.digest")
+    shared = F.size(F.array_intersect("hashes", "f.hashes"))
+    alike = (shared > 0) & (shared >= F.lit(similarity) * (F.size("hashes") + F.size("f.hashes") - shared))
+    judged = table(both.select("component", "rep", "digest", alike.alias("alike")), "judged")
+    direct = judged.where("alike").select(F.col("rep").alias("a"), F.col("component").alias("b"))
+
+    sizes = judged.groupBy("component").agg(F.count("*").alias("n"), F.sum((~F.col("alike")).cast("int")).alias("open"))
+    sizes = sizes.where("n > 1 AND open > 0").select("component", F.ceil(F.col("open") / EXACT).cast("int").alias("blocks"))
+    left = judged.join(sizes, "component").withColumn("of", F.when(~F.col("alike"), F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")))
+    left = left.join(loaded.select("component", "rep", "digest", "hashes"), ["component", "rep", "digest"])
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("component", "block", "rep", "hashes", F.coalesce(F.col("of") == F.col("block"), F.lit(False)).alias("owner"))
+
+    def compare(p: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.asarray(h, np.int64) for h in p["hashes"]]
+        rep, size = p["rep"].to_numpy(), np.array([len(h) for h in sets])
+        ids, owner = np.concatenate(sets), np.flatnonzero(p["owner"].to_numpy(bool))
+        known, ids = np.unique(ids, return_inverse=True)
+        start = np.concatenate(([0], np.cumsum(size)))
+        total, mark = np.empty(len(ids) + 1, np.int64), np.zeros(len(known), bool)
+        i, j = [], []
+        for o in owner:
+            mine = ids[start[o] : start[o + 1]]
+            mark[mine] = True
+            total[0] = 0
+            np.cumsum(mark[ids], out=total[1:])
+            mark[mine] = False
+            common = total[start[1:]] - total[start[:-1]]
+            near = np.flatnonzero((common > 0) & (common >= similarity * (size + size[o] - common)))
+            near = near[near != o]
+            i.append(np.full(len(near), o))
+            j.append(near)
+        by = np.argsort(rep, kind="stable")
+        place = np.empty(len(rep), np.int64)
+        place[by] = np.arange(len(rep))
+        root = rep[by][local_stars(len(rep), place[np.concatenate(i)], place[np.concatenate(j)])][place] if i else rep
+        moved = root != rep
+        return pd.DataFrame({"a": rep[moved], "b": root[moved]})
+
+    out = table(direct.union(left.groupBy("component", "block").applyInPandas(compare, "a long, b long")), "similar")
+    drop(loaded, judged)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

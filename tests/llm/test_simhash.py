@@ -113,3 +113,38 @@ def test_similar_texts_group_and_others_stay(docs_of):
     assert sum(comp[i] == i - 1 for i in near) >= 0.9 * len(near)
     kept = {r.doc_id for r in simhash.keep_one(docs_of(rows)).collect()}
     assert kept == {i for i, c in comp.items() if i == c}
+
+
+def jaccard(a, b):
+    a, b = (set(simhash.shingles(t).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_exact_similarity_decides(docs_of, monkeypatch, block):
+    """Pairs below the threshold stay apart however close their signatures are, and those above it are found."""
+    import random
+
+    monkeypatch.setattr(simhash, "EXACT", block)
+    rng = random.Random(2)
+    words = [f"v{k}" for k in range(4000)]
+    texts = []
+    for g in range(40):
+        t = rng.choices(words, k=300)
+        for c in range(6):
+            u = list(t)
+            for k in rng.sample(range(0, 300, 5), (0, 3, 5, 7, 9, 11)[c]):
+                u[k] = rng.choice(words)
+            texts.append(" ".join(u))
+    links = [(a, b) for g in range(0, len(texts), 6) for a in range(g, g + 6) for b in range(a + 1, g + 6) if jaccard(texts[a], texts[b]) >= 0.8]
+    want = smallest(len(texts), links)
+    comp = {r.id: r.component_id for r in simhash.similar(docs_of(list(enumerate(texts)))).collect()}
+    assert all(comp[k] >= want[k] for k in comp)  # nothing is linked that shouldn't be
+    assert sum(comp[k] == want[k] for k in comp) >= 0.98 * len(want)
+
+
+def test_recall_counts_both_steps():
+    for depth in (1, 8, 16, 24):
+        budget, tries = simhash.plan(0.8, 0.985, depth)
+        off = simhash.differing(0.8)
+        assert simhash.within(budget, off) * (1 - (1 - (1 - off) ** depth) ** tries) >= 0.985
