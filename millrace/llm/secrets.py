@@ -1,6 +1,6 @@
 """Secret scans: candidates by pattern, and a random forest that throws out false positives. DataFrame functions only.
 
-Candidates are found by one regular expression. Each gets features: its length, how often its characters
+Candidates are found by one regular expression, each to its end, however long it is. Each gets features: its length, how often its characters
 change class, how much of it dictionary words cover, the kinds and variety of its characters, whether the
 path looks like a test or document, and whether neighbouring words speak of secrets or of digests and ids. A
 random forest is trained on labelled findings (value, before, path, label), by default a bounded set
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import read
 
-#: Public formats of keys and tokens, and the names that assignments of secrets use.
+#: Public formats of keys and tokens, and the names that assignments of secrets use. Values have no upper
+#: length: a value runs to its end.
 RULES = {
     "aws_access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36}\b",
@@ -24,8 +25,8 @@ RULES = {
     "google_api_key": r"\bAIza[0-9A-Za-z_-]{35}",
     "jwt": r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
-    "assignment": r"\b(?:[A-Za-z0-9]{1,20}+[_.-])?(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"',;]{8,200}",
-    "long_token": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])",
+    "assignment": r"\b(?:[A-Za-z0-9]{1,20}+[_.-])?(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"',;]{8,}+",
+    "long_token": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])",
 }
 SECRET_WORDS = "password|passwd|pwd|secret|token|key|auth|bearer|credential|login"
 BENIGN_WORDS = "commit|sha|sha1|sha256|md5|hash|digest|checksum|etag|revision|uuid|guid|id|build|version|example|sample|placeholder|image|file|path"
@@ -74,6 +75,8 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 7) -> Data
     b64 = lambda k, size: F.substring(F.regexp_replace(F.base64(F.unhex(r(k))), "[+/=]", "x"), 1, size)
     hexa = lambda k, size: F.substr(r(k), F.lit(1), F.lit(size) if isinstance(size, int) else size)
     word = lambda k: pick(k, "the", "value", "order", "config", "service", "manager", "index", "data", "customer", "handler", "request", "file")
+    # random base64 of 86 to 3440 characters
+    blob = lambda k: F.array_join(F.transform(F.sequence(F.lit(1), (num(k, 40) + 1).cast("int")), lambda i: F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat_ws(":", F.lit(seed), F.lit(k), F.col("id"), i), 512))), "[=\\r\\n]", "")), "")
     noise = pick(20, "in the ", "and ", "of this ", "was ", "see ", "")
     def f(value: Column, before: Column, rule: Column | str) -> Column:
         rule = F.lit(rule) if isinstance(rule, str) else rule
@@ -87,6 +90,9 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 7) -> Data
         f(b64(8, 32), F.concat(noise, pick(9, "secret: ", "access_key=\"", "token=")), "assignment"),
         f(F.concat(F.lit("ghp_"), b64(10, 36)), noise, "github_token"),
         f(b64(11, 44), F.concat(noise, pick(12, "bearer ", "key ", "credential ")), "long_token"),
+        f(blob(37), F.concat(noise, pick(38, "token=", "secret: ", "api_key = \"")), "assignment"),
+        f(F.concat(F.lit("eyJ"), blob(39), F.lit("."), blob(40), F.lit("."), b64(41, 43)), F.concat(noise, pick(42, "token=", "auth: ")), "assignment"),
+        f(blob(43), F.concat(noise, pick(44, "bearer ", "key ", "credential ")), "long_token"),
     )
     uuid = F.concat_ws("-", hexa(13, 8), F.substring(r(13), 9, 4), F.substring(r(13), 13, 4), F.substring(r(13), 17, 4), F.substring(r(13), 21, 12))
     benign = pick(
@@ -99,6 +105,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 7) -> Data
         f(F.concat_ws("/", word(15), word(16), F.concat(word(17), num(18, 10_000).cast("string")), word(19)), noise, "long_token"),
         f(F.concat(word(15), word(16), word(17), num(18, 99).cast("string")), F.concat(noise, pick(19, "", "image ", "token=")), pick(19, "long_token", "long_token", "assignment")),
         f(F.repeat(num(15, 10).cast("string"), 24), noise, "long_token"),
+        f(blob(45), F.concat(noise, pick(46, "data:image/png;base64,", "image ", "file ")), "long_token"),
     )
     # nothing in the texts themselves says which path they have, so paths vary over both kinds
     both = spark.range(n).select("id", F.when(num(0, 2) == 1, secret).otherwise(benign).alias("f"), (num(0, 2) == 1).cast("double").alias("label"))
@@ -196,7 +203,9 @@ def redact(docs: DataFrame, forest: Forest | None = None, text_col: str = "text"
     path = F.col(path_col) if path_col else F.lit("")
     found = F.filter(candidates(F.col(text_col), path, forest), lambda x: x["score"] > 0.5)
     out = docs.withColumn("_found", found)
-    hidden = F.aggregate("_found", F.col(text_col), lambda acc, x: F.replace(acc, x["value"], F.lit(mask)))
+    # the longest first: a value may be part of another
+    longest = F.array_sort("_found", lambda a, b: F.length(b["value"]) - F.length(a["value"]))
+    hidden = F.aggregate(longest, F.col(text_col), lambda acc, x: F.replace(acc, x["value"], F.lit(mask)))
     return out.withColumn(text_col, F.when(F.size("_found") > 0, hidden).otherwise(F.col(text_col))).drop("_found")
 
 

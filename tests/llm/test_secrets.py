@@ -58,3 +58,17 @@ def test_odd_rows(odd_docs, no_docs, forest):
 def test_no_python_and_no_shuffle(docs_of, forest):
     plan = secrets.redact(docs_of([(1, "x")]), forest)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def letters(n, seed=1):
+    import random
+
+    return "".join(random.Random(seed).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+
+
+@pytest.mark.parametrize("n", [201, 352, 1000, 10_000])
+def test_long_values_go_whole(docs_of, forest, n):
+    jwt = f"eyJ{letters(n // 2)}.{letters(n // 3, 2)}.{letters(43, 3)}"
+    rows = [(1, f"see token={jwt} end"), (2, f"a secret: {letters(n)} end"), (3, f"the key {letters(n)} end"), (4, f"the key {'q' * 60}{letters(n)} end")]
+    got = {r.doc_id: r.text for r in secrets.redact(docs_of(rows), forest).collect()}
+    assert got == {1: "see token=[SECRET] end", 2: "a secret: [SECRET] end", 3: "the key [SECRET] end", 4: "the key [SECRET] end"}
