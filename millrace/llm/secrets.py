@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import read
 
+#: What stands before an assigned value: a name with one of the words in it, whatever segments precede or follow, and the sign.
+#: The name is consumed at once (possessive), so long names cost one pass; "author" or "tokenizer" don't hold a word.
+NAME = r"(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]*?(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z])))[A-Za-z0-9_.-]++[\"']?\s{0,3}[:=]\s{0,3}[\"']?+"
 #: Public formats of keys and tokens, and the names that assignments of secrets use. Values have no upper
-#: length: a value runs to its end.
+#: length: a value runs to its end, a private key to its END line or, without one, to the end of the text.
 RULES = {
     "aws_access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36}\b",
@@ -24,9 +27,9 @@ RULES = {
     "stripe_key": r"\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}",
     "google_api_key": r"\bAIza[0-9A-Za-z_-]{35}",
     "jwt": r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
-    "assignment": r"\b(?:[A-Za-z0-9]{1,20}+[_.-])?(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"',;]{8,}+",
-    "long_token": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])",
+    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----(?s:.*?)(?:-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----|\z)",
+    "assignment": NAME + r"(?:(?!-----BEGIN )[^\s\"',;]){8,}+",
+    "long_token": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?:(?!-----BEGIN )[A-Za-z0-9+/_-]){20,}+={0,2}(?![A-Za-z0-9+/_=-])",
 }
 SECRET_WORDS = "password|passwd|pwd|secret|token|key|auth|bearer|credential|login"
 BENIGN_WORDS = "commit|sha|sha1|sha256|md5|hash|digest|checksum|etag|revision|uuid|guid|id|build|version|example|sample|placeholder|image|file|path"
@@ -55,7 +58,7 @@ def features(value: Column, before: Column, path: Column, rule: Column) -> dict[
         "upper": F.length(F.regexp_replace(v, "[^A-Z]", "")) / n,
         "variety": F.size(F.array_distinct(letters)) / n,
         "path": _flag(F.coalesce(path, F.lit("")).rlike(TEST_PATHS)),
-        "near_secret": _flag(F.lower(before).rlike(rf"(?:{SECRET_WORDS})[\W_]*$")),
+        "near_secret": _flag((rule == "assignment") | F.lower(before).rlike(rf"(?:{SECRET_WORDS})[\W_]*$")),
         "near_benign": _flag(F.lower(before).rlike(rf"\b(?:{BENIGN_WORDS})\W*$")),
         "known": _flag(~rule.isin("assignment", "long_token")),
         "hexonly": _flag(low.rlike("^[0-9a-f]+$")),
@@ -77,6 +80,8 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 7) -> Data
     word = lambda k: pick(k, "the", "value", "order", "config", "service", "manager", "index", "data", "customer", "handler", "request", "file")
     # random base64 of 86 to 3440 characters
     blob = lambda k: F.array_join(F.transform(F.sequence(F.lit(1), (num(k, 40) + 1).cast("int")), lambda i: F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat_ws(":", F.lit(seed), F.lit(k), F.col("id"), i), 512))), "[=\\r\\n]", "")), "")
+    kind_of_key = pick(33, "RSA ", "EC ", "", "OPENSSH ")
+    key_block = F.concat(F.lit("-----BEGIN "), kind_of_key, F.lit("PRIVATE KEY-----\n"), F.regexp_replace(blob(34), "(.{64})", "$1\n"), F.lit("\n-----END "), kind_of_key, F.lit("PRIVATE KEY-----"))
     noise = pick(20, "in the ", "and ", "of this ", "was ", "see ", "")
     def f(value: Column, before: Column, rule: Column | str) -> Column:
         rule = F.lit(rule) if isinstance(rule, str) else rule
@@ -90,7 +95,9 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 7) -> Data
         f(b64(8, 32), F.concat(noise, pick(9, "secret: ", "access_key=\"", "token=")), "assignment"),
         f(F.concat(F.lit("ghp_"), b64(10, 36)), noise, "github_token"),
         f(b64(11, 44), F.concat(noise, pick(12, "bearer ", "key ", "credential ")), "long_token"),
-        f(blob(37), F.concat(noise, pick(38, "token=", "secret: ", "api_key = \"")), "assignment"),
+        f(key_block, noise, "private_key"),
+        f(b64(35, 40), F.concat(noise, pick(36, "AWS_SECRET_ACCESS_KEY=", "DB_USER_PASSWORD=", "dbPassword = \"", "authTokenValue: ")), "assignment"),
+        f(blob(37), F.concat(noise, pick(38, "token=", "secret: ", "api_key = \"", "APP_SESSION_TOKEN=")), "assignment"),
         f(F.concat(F.lit("eyJ"), blob(39), F.lit("."), blob(40), F.lit("."), b64(41, 43)), F.concat(noise, pick(42, "token=", "auth: ")), "assignment"),
         f(blob(43), F.concat(noise, pick(44, "bearer ", "key ", "credential ")), "long_token"),
     )
@@ -151,7 +158,7 @@ def candidates(text: Column, path: Column, forest: Forest, context: int = 40) ->
     """Array of structs (rule, value, score), one for each distinct candidate of a text, in order of appearance."""
     every = "|".join(f"(?:{p})" for p in RULES.values())
     raw = F.array_distinct(F.regexp_extract_all(text, F.lit(every), F.lit(0)))
-    value_of = r"^(?:[A-Za-z0-9]{1,20}+[_.-])?(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
+    value_of = f"^{NAME}"
 
     def name(raw_: Column) -> Column:
         rule = F.lit("long_token")

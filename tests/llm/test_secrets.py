@@ -72,3 +72,20 @@ def test_long_values_go_whole(docs_of, forest, n):
     rows = [(1, f"see token={jwt} end"), (2, f"a secret: {letters(n)} end"), (3, f"the key {letters(n)} end"), (4, f"the key {'q' * 60}{letters(n)} end")]
     got = {r.doc_id: r.text for r in secrets.redact(docs_of(rows), forest).collect()}
     assert got == {1: "see token=[SECRET] end", 2: "a secret: [SECRET] end", 3: "the key [SECRET] end", 4: "the key [SECRET] end"}
+
+
+def test_private_keys_go_whole(docs_of, forest):
+    body = "\n".join(letters(64, k) for k in range(24))
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    rows = [(1, f"before\n{block}\nafter"), (2, f'secret="{block}" after'), (3, f"cut off {block[:900]}"), (4, f"{block}\nbetween\n{block.replace('RSA', 'EC')}")]
+    got = {r.doc_id: r.text for r in secrets.redact(docs_of(rows), forest).collect()}
+    assert got == {1: "before\n[SECRET]\nafter", 2: 'secret="[SECRET]" after', 3: "cut off [SECRET]", 4: "[SECRET]\nbetween\n[SECRET]"}
+
+
+def test_names_of_several_segments(docs_of, forest):
+    names = ["AWS_SECRET_ACCESS_KEY=", "DB_USER_PASSWORD=", "dbPassword=", "app.db.user.password: ", "tokenValue = ", "my-api-key-2="]
+    rows = [(k, f"set {x}{letters(40, k)} end") for k, x in enumerate(names)]
+    got = {r.doc_id: r.text for r in secrets.redact(docs_of(rows), forest).collect()}
+    assert got == {k: f"set {x}[SECRET] end" for k, x in enumerate(names)}
+    other = docs_of([(1, "author=Wolfeschlegelstein tokenizer: abcdefghijkl AUTHORS=abcdefghijkl")])
+    assert secrets.scan(other, forest).count() == 0
