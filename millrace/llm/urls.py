@@ -63,6 +63,7 @@ def targets(url: Column, html: Column) -> Column:
 
     Only http and https targets, or ones relative to the page's host, count; entities ``&amp;`` are decoded.
     """
+    decoded = lambda t: F.replace(t, F.lit("&amp;"), F.lit("&"))
     head = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
     scheme = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
     folder = F.regexp_extract(F.regexp_replace(url, "[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*(?:/.*)?/)", 1)
@@ -71,8 +72,11 @@ def targets(url: Column, html: Column) -> Column:
     links = F.transform(links, lambda t: F.regexp_extract(t, r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'[^']*'|[^\s>"']+)""", 0))
     metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
     metas = F.filter(metas, lambda t: t.rlike(r"""(?is)\bhttp-equiv\s*=\s*["']?\s*refresh\b"""))
-    metas = F.transform(metas, lambda t: F.regexp_extract(t, r"""(?is)\burl\s*=\s*["']?[^"'>\s;]*""", 0))
-    strip = lambda t: F.replace(F.regexp_replace(t, r"""(?is)^(?:href|url)\s*=\s*["']?\s*|["'\s]+$""", ""), F.lit("&amp;"), F.lit("&"))
+    # the refresh target ends where the decoded attribute ends, or at the quote that it opens itself
+    metas = F.transform(metas, lambda t: decoded(F.regexp_extract(t, r"""(?is)\bcontent\s*=\s*(?:"[^">]*|'[^'>]*|[^\s"'>]+)""", 0)))
+    metas = F.transform(metas, lambda t: F.regexp_replace(t, r"""(?is)^content\s*=\s*["']?""", ""))
+    metas = F.transform(metas, lambda t: F.regexp_extract(t, r"""(?is)^[\s\d.]*[;,]?\s*(url\s*=\s*(?:"[^"]*|'[^']*|[^"'].*))""", 1))
+    bare = lambda t: F.regexp_replace(t, r"""(?is)^(?:href|url)\s*=\s*["']?\s*|["'\s]+$""", "")
 
     def absolute(t: Column) -> Column:
         return (
@@ -83,7 +87,8 @@ def targets(url: Column, html: Column) -> Column:
             .otherwise(F.concat(F.when(folder == "", F.concat(head, F.lit("/"))).otherwise(folder), t))
         )
 
-    return F.filter(F.transform(F.transform(F.concat(links, metas), strip), absolute), lambda t: t.isNotNull())
+    named = F.concat(F.transform(links, lambda t: decoded(bare(t))), F.transform(metas, bare))
+    return F.filter(F.transform(named, absolute), lambda t: t.isNotNull())
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -37,3 +37,14 @@ def test_aliases(spark):
 def test_no_rules_and_no_rows(spark):
     assert verdicts(spark, [(1, "http://net/", None)], [])[1].verdict == "allow"
     assert verdicts(spark, []) == {}
+
+
+def test_refresh_targets_go_to_the_end_of_the_attribute(spark):
+    go = lambda c: f"<meta http-equiv=\"refresh\" content={c}>"
+    rows = [
+        (1, "http://net/?a=1&b=2", None), (2, "http://b.test/?a=1&b=2", go('"0; url=http://net/"')), (3, "http://c.test/?a=1;b=2", go('"0; url=http://net/"')),
+        (4, "http://x.test/1", go('"0; url=http://b.test/?a=1&amp;b=2"')), (5, "http://x.test/2", go('"0;URL=http://c.test/?a=1;b=2 "')), (6, "http://x.test/3", go("\"5; url='http://b.test/?a=1&amp;b=2'\"")),
+        (7, "http://x.test/4", go("0;url=http://b.test/?a=1&amp;b=2")), (8, "http://x.test/5", go('"0; url=http://b.test/?a=1"')), (9, "http://x.test/6", go('"30"')),
+    ]
+    got = {i: r.verdict for i, r in verdicts(spark, rows).items()}
+    assert {i for i, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 7}
