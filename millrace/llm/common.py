@@ -44,9 +44,25 @@ def drop(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_millrace_path", None)
         if path:
-            jvm, spark = df.sparkSession._jvm, df.sparkSession
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder; one that isn't there is no error."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them (case ignored, as Spark does)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 @contextmanager
@@ -63,6 +79,31 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+#: Rows of a key from which a lookup deals them out, and over how many places.
+HOT, PLACES = 2_000, 64
+
+
+def look_up(rows: DataFrame, key: str, known: DataFrame, spread: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``known`` (one row for each ``key``, under the same name), whatever share of the rows has one key.
+
+    The rows of keys that stand in more than ``HOT`` rows are dealt out over ``PLACES`` by a hash of the column ``spread``
+    and those keys' entries are repeated for each place. There are at most rows / ``HOT`` such keys; they are broadcast
+    while they are fewer than a hundred thousand and joined by a shuffle beyond. ``rows`` should be a written table, since its keys
+    are counted first.
+    """
+    hot = table(rows.groupBy(key).count().where(F.col("count") > HOT).where(F.col(key).isNotNull()).select(F.col(key).alias("_hot")), "hot")
+    n = hot.count()
+    if not n:
+        drop(hot)
+        return rows.join(known, key, how)
+    few = F.broadcast(hot) if n < 100_000 else hot
+    place = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(PLACES)).cast("int")).otherwise(0)
+    left = rows.join(few, F.col(key) == F.col("_hot"), "left").withColumn("_place", place).drop("_hot")
+    places = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(PLACES - 1))).otherwise(F.array(F.lit(0)))
+    right = known.join(few, F.col(key) == F.col("_hot"), "left").withColumn("_place", F.explode(places)).drop("_hot")
+    return left.join(right, [key, "_place"], how).drop("_place")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(c, ASCII_UPPER, ASCII_UPPER.lower())
