@@ -10,20 +10,35 @@ of the salts before, so a length that a third of all pieces share is spread over
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import islice
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import read, table
+from millrace.llm.common import drop, read, table
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 SALTS = 256
 PIECE = "id long, piece int, start long, length long, ids_crc32 long"
+#: The normalizer and pre-tokenizer of a tokenizer file under which words between white space are encoded alone.
+BY_WORD = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+COMBINING = re.compile("[\u0300-\u036f]")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -35,13 +50,16 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class Coder:
     """Token ids of texts as little-endian bytes, with a memo of words that lives as long as the worker.
 
-    The tokenizer drops white space, never joins across it and ignores the case of A-Z, so a text's ids are those of its
-    words between spaces and line feeds, one after another. Words that end in one full stop or comma after a
-    letter are looked up without it. :func:`coder` checks these properties of the tokenizer file and hands whole
-    texts to the tokenizer where they don't hold.
+    A tokenizer file with the normalizer and pre-tokenizer ``BY_WORD`` drops white space, never joins across it and ignores the
+    case of A-Z, so a text's ids are those of its words between spaces and line feeds, one after another. Words that end in
+    one full stop or comma after a letter are looked up without it. Texts that hold an added token in any spelling (it
+    is matched before lower-casing) or combining marks (they compose with lower-case letters that have no composed
+    capital) go to the tokenizer as a whole, and so do all texts under any other file.
     """
 
     KEPT = 800_000
+    #: Stands between the words that are learned together; words that hold it are learned one by one.
+    MARK = b"\x01"
 
     def __init__(self, path: str):
         import os
@@ -50,9 +68,13 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tok, self.memo = Tokenizer.from_file(path), {}
-        probe = "Ab, c.\nD  e'll F. 7x"
-        self.by_word = self.whole([probe]) == [b"".join(self.whole(probe.lower().replace("\n", " ").split(" ")))] and self.whole([" "]) == [b""]
+        with open(path, encoding="utf-8") as f:
+            known = json.load(f)
+        added = known["added_tokens"]
+        self.by_word = (known["normalizer"], known["pre_tokenizer"]) == BY_WORD and not known["post_processor"] and not any(t["normalized"] for t in added)
+        self.special = [t["content"].lower().encode() for t in added]
         self.stops = {x: self.whole([x.decode()])[0] for x in (b".", b",")}
+        self.mark = np.frombuffer(self.whole([self.MARK.decode()])[0], "<u4")
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -61,18 +83,34 @@ class Coder:
         memo = self.memo
         bare = {w: w[:-1] if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122 else w for w in words}
         new = list({b for b in bare.values() if b not in memo})
-        for at in range(0, len(new), 1024):
-            memo.update(zip(new[at : at + 1024], self.whole([b.decode() for b in new[at : at + 1024]]), strict=True))
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            memo.update(zip(part, self.together(part), strict=True))
         for w, b in bare.items():
             if w != b:
                 memo[w] = memo[b] + self.stops[w[-1:]]
 
+    def together(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word; the tokenizer gets them as one text, with a mark between them whose id no word has."""
+        if len(self.mark) == 1 and not any(self.MARK in w for w in words):
+            ids = np.array(self.tok.encode_batch_fast([(b" " + self.MARK + b" ").join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark[0])
+            if len(ends) == len(words) - 1:
+                data = ids.tobytes()
+                begin, end = np.concatenate(([0], ends + 1)) * 4, np.append(ends, len(ids)) * 4
+                return list(map(data.__getitem__, map(slice, begin.tolist(), end.tolist())))
+        return self.whole([w.decode() for w in words])
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.whole(texts)
         out = []
         for at in range(0, len(texts), 32):
-            split = [t.encode("utf-8", "replace").lower().replace(b"\n", b" ").split(b" ") for t in texts[at : at + 32]]
+            lower = [t.encode("utf-8", "replace").lower() for t in texts[at : at + 32]]
+            apart = [k for k, t in enumerate(lower) if any(s in t for s in self.special) or (not texts[at + k].isascii() and COMBINING.search(texts[at + k]))]
+            split = [t.replace(b"\n", b" ").split(b" ") for t in lower]
+            for k in apart:
+                split[k] = []
             missing = set().union(*split).difference(self.memo)
             if missing:
                 if len(self.memo) > self.KEPT:
@@ -81,7 +119,10 @@ class Coder:
                     missing = set().union(*split).difference(self.memo)
                 self.learn(missing)
             get = self.memo.__getitem__
-            out += [b"".join(map(get, words)) for words in split]
+            got = [b"".join(map(get, words)) for words in split]
+            for k in apart:
+                got[k] = self.whole([texts[at + k]])[0]
+            out += got
         return out
 
 
@@ -103,21 +144,26 @@ def pieces(docs: DataFrame, size: int = 4096, tokenizer: str | None = None, end_
     """
     path = tokenizer or tokenizer_path()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+        schema = schema.append(pa.field("token_ids", pa.list_(pa.int64()))) if with_ids else schema
         code = coder(path)
-        for p in parts:
+        for b in batches:
             rows: list[tuple] = []
-            texts = [t if isinstance(t, str) else "" for t in p["_text"]]
+            keys, texts = b.column("_id").to_pylist(), [t or "" for t in b.column("_text").to_pylist()]
             for at in range(0, len(texts), 128):
-                for key, ids in zip(p["_id"].iloc[at : at + 128], code(texts[at : at + 128]), strict=True):
+                for key, ids in zip(keys[at : at + 128], code(texts[at : at + 128]), strict=True):
                     ids += end_id.to_bytes(4, "little")
                     for k, start in enumerate(range(0, len(ids), 4 * size)):
                         part = ids[start : start + 4 * size]
                         rows.append((key, k, start // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int64)] if with_ids else [])))
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", *(["token_ids"] if with_ids else [])])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return src.mapInPandas(run, PIECE + (", token_ids array<long>" if with_ids else ""))
+    return src.mapInArrow(run, PIECE + (", token_ids array<long>" if with_ids else ""))
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
