@@ -13,13 +13,16 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import read
+from millrace.llm.common import drop, read, table
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, STREAM_PID = 0x0000, 0x0100, 0x0101
@@ -111,44 +114,98 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """What a transport stream holds."""
+    """What one elementary stream of a transport stream holds."""
 
     payload: bytes
-    packets: int
-    stamps: list[int]
+    packets: int  # of the whole transport stream
+    stamps: list[int]  # presentation timestamps, of the PES packets that have one
     access: list[int]  # packet numbers with the random-access indicator
     gaps: int  # continuity counters that don't follow
+    pes: int = 0
+    pid: int = STREAM_PID
+    streams: tuple[tuple[int, int, int], ...] = ()  # (program, stream type, PID) of all elementary streams
+
+
+def _payload_from(rows: np.ndarray) -> np.ndarray:
+    """Where each packet's payload begins."""
+    return np.where(rows[:, 3] & 0x20, 5 + rows[:, 4].astype(np.int64), 4)
+
+
+def _section_of(rows: np.ndarray, table_id: int) -> bytes:
+    """The body of the first whole section among a PID's packets; it may run over several of them."""
+    begin, data = _payload_from(rows), None
+    for k in range(len(rows)):
+        if not rows[k, 3] & 0x10:
+            continue
+        body = rows[k, begin[k] :].tobytes()
+        if rows[k, 1] & 0x40:
+            data = body[1 + body[0] :]
+        elif data is not None:
+            data += body
+        if data is None or len(data) < 3:
+            continue
+        size = 3 + (int.from_bytes(data[1:3], "big") & 0xFFF)
+        if data[0] != table_id:
+            data = None
+        elif len(data) >= size:
+            if crc_mpeg(data[:size]):
+                raise ValueError("damaged program table")
+            return data[8 : size - 4]
+    raise ValueError("no program table")
+
+
+def _stamp_of(pes: bytes) -> int | None:
+    """The presentation timestamp of a PES packet, None where its flag is not set."""
+    if not pes[7] & 0x80 or pes[8] < 5:
+        return None
+    t = pes[9:14]
+    return (t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1
+
+
+def programs(m: np.ndarray, pid: np.ndarray) -> list[tuple[int, int, int]]:
+    """(program, stream type, PID) of every elementary stream, by the association table and each program's map."""
+    pat, out = _section_of(m[pid == PAT_PID], 0x00), []
+    for k in range(0, len(pat) - 3, 4):
+        number, pmt_pid = int.from_bytes(pat[k : k + 2], "big"), int.from_bytes(pat[k + 2 : k + 4], "big") & 0x1FFF
+        if not number:
+            continue  # the network's own table
+        pmt = _section_of(m[pid == pmt_pid], 0x02)
+        at = 4 + (int.from_bytes(pmt[2:4], "big") & 0xFFF)
+        while at + 5 <= len(pmt):
+            out.append((number, pmt[at], int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF))
+            at += 5 + (int.from_bytes(pmt[at + 3 : at + 5], "big") & 0xFFF)
+    return out
 
 
-def _parse_section(packet: np.ndarray, table_id: int) -> bytes:
-    body = packet[4:].tobytes()
-    s = body[1 + body[0] :]
-    size = 3 + (int.from_bytes(s[1:3], "big") & 0xFFF)
-    if s[0] != table_id or crc_mpeg(s[:size]):
-        raise ValueError("damaged program table")
-    return s[8 : size - 4]
-
+def demux(media: bytes, want: int | None = None) -> Stream:
+    """Parse a transport stream by its tables and gather one elementary stream: that of PID ``want``, by default the first.
 
-def demux(media: bytes) -> Stream:
-    """Parse a transport stream by its tables. Raises ValueError where sync bytes, tables or PES heads are damaged."""
+    A PES packet without a length runs to the next one's start. Packets without payload don't count, and neither does one
+    packet's repetition. Raises ValueError where sync bytes, tables or PES heads are damaged.
+    """
     if len(media) % PACKET or not media:
         raise ValueError("not whole packets")
     m = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
     if (m[:, 0] != SYNC).any():
         raise ValueError("lost sync")
     pid = (m[:, 1].astype(np.int64) & 31) << 8 | m[:, 2]
-    pat = _parse_section(m[np.flatnonzero(pid == PAT_PID)[0]], 0x00)
-    pmt_pid = int.from_bytes(pat[2:4], "big") & 0x1FFF
-    pmt = _parse_section(m[np.flatnonzero(pid == pmt_pid)[0]], 0x02)
-    skip = 4 + (int.from_bytes(pmt[2:4], "big") & 0xFFF)
-    want = int.from_bytes(pmt[skip + 1 : skip + 3], "big") & 0x1FFF
+    known = programs(m, pid)
+    if not known and want is None:
+        raise ValueError("no elementary stream")
+    want = known[0][2] if want is None else want
     where = np.flatnonzero(pid == want)
     rows = m[where]
-    cc = rows[:, 3] & 15
-    gaps = int(((cc[1:] - cc[:-1]) & 15 != 1).sum()) if len(rows) > 1 else 0
-    field = (rows[:, 3] & 0x20) != 0
-    begin = np.where(field, 5 + rows[:, 4].astype(np.int64), 4)
-    access = where[field & (rows[:, 4] > 0) & ((rows[:, 5] & 0x40) != 0)].tolist()
+    access = where[((rows[:, 3] & 0x20) != 0) & (rows[:, 4] > 0) & ((rows[:, 5] & 0x40) != 0)].tolist()
+    rows = rows[(rows[:, 3] & 0x10) != 0]
+    gaps = 0
+    if len(rows) > 1:
+        step = (rows[1:, 3] & 15).astype(np.int64) - (rows[:-1, 3] & 15) & 15
+        if (step == 0).any():
+            again = np.concatenate(([False], (step == 0) & (rows[1:, 4:] == rows[:-1, 4:]).all(axis=1)))
+            rows = rows[~again]
+            step = (rows[1:, 3] & 15).astype(np.int64) - (rows[:-1, 3] & 15) & 15
+        gaps = int((step != 1).sum())
+    begin = _payload_from(rows)
     starts = np.flatnonzero(rows[:, 1] & 0x40).tolist()
     parts, stamps = [], []
     for a, b in zip(starts, [*starts[1:], len(rows)], strict=False):
@@ -161,13 +218,13 @@ def demux(media: bytes) -> Stream:
             else:
                 tail = b"".join(rows[k, begin[k] :].tobytes() for k in range(a + 1, b))
         pes = head + tail
-        if pes[:3] != b"\x00\x00\x01":
+        if pes[:3] != b"\x00\x00\x01" or len(pes) < 9:
             raise ValueError("damaged PES head")
         size = int.from_bytes(pes[4:6], "big")
-        t = pes[9:14]
-        stamps.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1)
-        parts.append(pes[9 + pes[8] : 6 + size])
-    return Stream(b"".join(parts), len(m), stamps, access, gaps)
+        if (stamp := _stamp_of(pes)) is not None:
+            stamps.append(stamp)
+        parts.append(pes[9 + pes[8] : 6 + size if size else len(pes)])
+    return Stream(b"".join(parts), len(m), stamps, access, gaps, len(parts), want, tuple(known))
 
 
 def padded(text: str | None) -> bytes:
@@ -182,16 +239,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Null and empty texts are one block of padding. Ids may be null or repeated; extra columns are ignored.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for at in range(0, len(p), 256):  # streams of bounded number are in memory at once
-                texts = p["_text"].iloc[at : at + 256].tolist()
-                yield pd.DataFrame({
-                    "id": p["_id"].iloc[at : at + 256].to_numpy(), "n_bytes": [len((t or "").encode("utf-8", "replace")) for t in texts], "media": [mux(padded(t)) for t in texts]
-                })
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for b in batches:
+            for at in range(0, b.num_rows, 256):  # streams of bounded number are in memory at once
+                part = b.slice(at, 256)
+                texts = part.column("_text").to_pylist()
+                sizes = [len((t or "").encode("utf-8", "replace")) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(sizes, pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], ["id", "n_bytes", "media"])
 
     src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return src.mapInPandas(run, "id long, n_bytes long, media binary")
+    return src.mapInArrow(run, "id long, n_bytes long, media binary")
 
 
 def inspect(media: DataFrame) -> DataFrame:
@@ -201,20 +260,32 @@ def inspect(media: DataFrame) -> DataFrame:
     ``stamps`` and ``access_points`` are the arrays themselves. A damaged stream raises an error.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "stamps", "access_points"]
+        for b in batches:
             rows = []
-            for key, n, m in zip(p["id"], p["n_bytes"], p["media"], strict=True):
+            for key, n, m in zip(b.column("id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media"), strict=True):
+                m = m.as_py()
                 s = demux(m)
-                last = s.stamps[-1] if s.stamps else 0
-                text = f"packets={s.packets};pes={len(s.stamps)};rap={len(s.access)};gaps={s.gaps};pts={s.stamps[0] if s.stamps else 0}-{last}"
+                first, last = (s.stamps[0], s.stamps[-1]) if s.stamps else (0, 0)
+                text = f"packets={s.packets};pes={s.pes};rap={len(s.access)};gaps={s.gaps};pts={first}-{last}"
                 rows.append((key, n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), text, s.stamps, s.access))
-            yield pd.DataFrame(rows, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "stamps", "access_points"])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, stamps array<long>, access_points array<long>"
-    return media.mapInPandas(run, schema)
+    return media.select("id", "n_bytes", "media").mapInArrow(run, schema)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a transport stream: doc_id, sizes, digests, feature, timestamps and random-access points."""
-    return inspect(encode(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+    """Every document as a stored transport stream, read back: doc_id, sizes, digests, feature, timestamps, random-access points.
+
+    The media column is written to the shared folder and read from there; it goes once its features are written.
+    """
+    media = table(encode(read(spark, sf_dir, "documents")), "media")
+    out = table(inspect(media), "media-features")
+    drop(media)
+    return out.withColumnRenamed("id", "doc_id")
