@@ -11,19 +11,24 @@ stretch, their byte ranges are sorted, neighbours are coalesced into one read, a
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from base64 import b32decode, b32encode
 from collections.abc import Iterator
+from math import ceil
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import read, shared_dir, table
+from millrace.llm.common import drop, look_up, read, remove, shared_dir, table
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 REVISIT = 1000
 #: Bytes of an archive file, of the stretch of a file that one group reads, of a gap read over, and of one read.
-FILE, STRETCH, GAP, READ = 256 << 20, 32 << 20, 64 << 10, 8 << 20
+FILE, STRETCH, GAP, READ = 256 << 20, 8 << 20, 64 << 10, 8 << 20
 DATE = "2024-01-01T00:00:00Z"  # the tables have no crawl time
 INDEX = "id long, file string, offset long, length long, url string, digest string, record_type string, refers_to long"
 
@@ -35,10 +40,10 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}")
 
 
-def record(key: int, url: str, payload: bytes, digest: str, refers_to: int | None = None) -> bytes:
-    """One WARC/1.1 record, uncompressed. A revisit carries headers alone."""
+def record(key: int | None, url: str, payload: bytes, digest: str, refers_to: int | None = None) -> bytes:
+    """One WARC/1.1 record, uncompressed. A revisit carries headers alone; a page without an id gets a random record id."""
     name = "sha1:" + b32encode(bytes.fromhex(digest)).decode()
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:millrace:page:{key}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:{f'uuid:{uuid.uuid4()}' if key is None else f'millrace:page:{key}'}>", f"WARC-Date: {DATE}"]
     # a line break inside a URL would end its header
     head += [f"WARC-Target-URI: {url.translate({10: '%0A', 13: '%0D'})}"] if url else []
     head += [f"WARC-Payload-Digest: {name}"]
@@ -65,13 +70,20 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, html, digest, refers_to: what each record will be. Null html counts as empty."""
+    """id, url, html, digest, refers_to: what each record will be. Null html counts as empty.
+
+    Of equal payloads the rows with the largest id are responses, each of them if it repeats; rows without an id revisit
+    them, and are responses where no row of their payload has one.
+    """
     p = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    big = p.where(F.octet_length("html") >= REVISIT).select("id", "digest")
-    groups = big.groupBy("digest").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1")
-    again = table(big.join(groups, "digest").where("id != response").select("id", F.col("response").alias("refers_to")).distinct(), "revisits")
-    return p.join(again, "id", "left").select("id", "url", "html", "digest", "refers_to")
+    big = table(p.where(F.octet_length("html") >= REVISIT).select("id", "digest"), "payloads")
+    groups = big.groupBy("digest").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1 AND response IS NOT NULL")
+    again = look_up(big, "digest", groups, "id", "inner").where("id IS NULL OR id != response")
+    again = table(again.select(F.col("id").alias("of"), F.col("digest").alias("same"), F.col("response").alias("refers_to")).distinct(), "revisits")
+    drop(big)
+    match = p["id"].eqNullSafe(again["of"]) & (p["digest"] == again["same"]) & (F.octet_length("html") >= REVISIT)
+    return p.join(again, match, "left").select("id", "url", "html", "digest", "refers_to")
 
 
 def write(pages: DataFrame, folder: str | None = None, level: int = 3, **columns) -> DataFrame:
@@ -79,37 +91,36 @@ def write(pages: DataFrame, folder: str | None = None, level: int = 3, **columns
     spark = pages.sparkSession
     root = (folder or f"{shared_dir(spark)}/millrace/warc").rstrip("/")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
 
         fs, path = filesystem(root)
         fs.create_dir(path, recursive=True)
+        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
         out, name, at = None, "", 0
         try:
-            for p in parts:
+            for b in batches:
                 rows = []
-                for key, url, html, digest, refers in zip(p["id"], p["url"], p["html"], p["digest"], p["refers_to"], strict=True):
+                for key, url, html, digest, to in zip(*[b.column(c).to_pylist() for c in ("id", "url", "html", "digest", "refers_to")], strict=True):
                     if out is None:
                         name, at = f"{path}/{uuid.uuid4().hex}.warc.gz", 0
                         out = fs.open_output_stream(name, compression=None)
-                    to = None if pd.isna(refers) else int(refers)
-                    raw = record(key, url or "", html.encode("utf-8", "replace"), digest, to)
                     z = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    member = z.compress(raw) + z.flush()
+                    member = z.compress(record(key, url or "", html.encode("utf-8", "replace"), digest, to)) + z.flush()
                     out.write(member)
                     rows.append((key, name, at, len(member), url, digest, "response" if to is None else "revisit", to))
                     at += len(member)
                     if at >= FILE:
                         out.close()
                         out = None
-                got = pd.DataFrame(rows, columns=["id", "file", "offset", "length", "url", "digest", "record_type", "refers_to"])
-                yield got.astype({"refers_to": "Int64"})
+                if rows:
+                    columns = zip(zip(*rows, strict=True), types, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["id", "file", "offset", "length", "url", "digest", "record_type", "refers_to"])
         finally:
             if out is not None:
                 out.close()
 
-    src = plan(pages, **columns).select("id", "url", "html", "digest", F.col("refers_to").cast("string").alias("refers_to"))
-    return table(src.mapInPandas(run, INDEX), "warc-index")
+    return table(plan(pages, **columns).mapInArrow(run, INDEX), "warc-index")
 
 
 def read_records(index: DataFrame, folder: str | None = None, with_payload: bool = False) -> DataFrame:
@@ -120,12 +131,14 @@ def read_records(index: DataFrame, folder: str | None = None, with_payload: bool
     """
     root = (folder or f"{shared_dir(index.sparkSession)}/millrace/warc").rstrip("/")
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
+    def run(t: pa.Table) -> pa.Table:
+        import pyarrow as pa
+
         fs, _ = filesystem(root)
-        p = p.sort_values("offset")
+        t = t.sort_by("offset")
         rows = []
-        with fs.open_input_file(p["file"].iloc[0]) as f:
-            offsets, lengths, keys = p["offset"].tolist(), p["length"].tolist(), p["id"].tolist()
+        with fs.open_input_file(t["file"][0].as_py()) as f:
+            offsets, lengths, keys = t["offset"].to_pylist(), t["length"].to_pylist(), t["id"].to_pylist()
             k = 0
             while k < len(keys):
                 end, last = offsets[k] + lengths[k], k + 1
@@ -144,27 +157,38 @@ def read_records(index: DataFrame, folder: str | None = None, with_payload: bool
                     to = int(to.strip("<>").rsplit(":", 1)[1]) if to else None
                     rows.append((keys[j], kind, head.get("WARC-Target-URI"), len(payload) if kind == "response" else None, named, to, *([payload] if with_payload else [])))
                 k = last
-        out = pd.DataFrame(rows, columns=["id", "record_type", "url", "payload_bytes", "payload_digest", "refers_to", *(["payload"] if with_payload else [])])
-        return out.astype({"payload_bytes": "Int64", "refers_to": "Int64"})
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), *([pa.binary()] if with_payload else [])]
+        names = ["id", "record_type", "url", "payload_bytes", "payload_digest", "refers_to", *(["payload"] if with_payload else [])]
+        return pa.table([pa.array(c, x) for c, x in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     schema = "id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long" + (", payload binary" if with_payload else "")
     chosen = index.select("id", "file", "offset", "length", F.floor(F.col("offset") / STRETCH).alias("stretch"))
-    return chosen.groupBy("file", "stretch").applyInPandas(run, schema)
+    # an index row is small beside its record, so tasks are dealt out by the bytes of archive that they read
+    tasks = max(1, ceil((chosen.agg(F.sum("length")).first()[0] or 0) / STRETCH))
+    return chosen.repartition(tasks, "file", "stretch").groupBy("file", "stretch").applyInArrow(run, schema)
 
 
 def archive(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
     """Write all pages, read all records back: id, payload_bytes, payload_digest, record_type, refers_to per page.
 
-    A revisit's size and digest are those of the response it refers to, as read back. Ids are expected to be unique;
-    rows with a null id are left out, since a record needs one. Null html is an empty payload, a null URL has no
-    target header. Extra columns are ignored. An empty table gives an empty result.
+    A revisit's size and digest are those of the response it refers to, as read back. Rows with null or repeated ids keep
+    their rows (see :func:`plan`). Null html is an empty payload, a null URL has no target header. Extra columns are
+    ignored. An empty table gives an empty result. Archives stay in ``folder``; without one they go when they are read.
     """
-    pages = pages.where(F.col(columns.get("id_col", "page_id")).isNotNull())
-    got = table(read_records(write(pages, folder, **columns), folder), "warc-read")
-    full = got.where("record_type = 'response'").select(F.col("id").alias("refers_to"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d"))
-    back = got.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(full, "refers_to")
-    first = got.where("record_type = 'response'").select("id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    return first.union(back.select("id", "n", "d", "record_type", "refers_to"))
+    spark = pages.sparkSession
+    root = folder or f"{shared_dir(spark)}/millrace/warc-{uuid.uuid4().hex}"
+    index = write(pages, root, **columns)
+    got = table(read_records(index, root), "warc-read")
+    if folder is None:
+        drop(index)
+        remove(spark, root)
+    response = F.col("record_type") == "response"
+    own = F.concat_ws(" ", F.when(response, F.col("id")).otherwise(F.col("refers_to")), "payload_digest")
+    got = got.withColumn("key", F.when(~response, own))
+    full = got.where(response & F.col("id").isNotNull()).groupBy(own.alias("key")).agg(F.max("payload_bytes").alias("n"))
+    first = got.where(response).select("id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = look_up(got.where(~response), "key", full, "id", "inner").select("id", "n", "payload_digest", "record_type", "refers_to")
+    return first.union(back)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
