@@ -21,11 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import drop, read, table
+from millrace.llm.common import drop, look_up, read, table
 from millrace.llm.graph import components, local_stars
 
 BLOCK, STEP, AXES = 1024, 16, 2
 SLACK = 1e-9
+#: Components of a vector at most: the driver holds a square matrix of that side for each size.
+WIDEST = 4096
 
 
 def usable(v: str = "embedding"):
@@ -40,6 +42,8 @@ def moments(classes: DataFrame) -> dict[int, np.ndarray]:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
         for p in parts:
+            if p["dim"].max() > WIDEST:
+                raise ValueError(f"vectors of more than {WIDEST} components")
             for d, group in p.groupby("dim"):
                 x = unit(np.stack(group["embedding"].to_list()).astype(np.float64))
                 total[d] = total.get(d, 0) + x.T @ x
@@ -98,16 +102,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
 
     Two vectors are linked if their labels are equal and not null, their sizes are equal and their cosine is
     at least ``threshold`` (> 0). Vectors that are null, zero, or hold null or non-finite components, and
-    vectors without a label, link with nothing: n_links 0, own component. Ids are expected to be unique and
-    not null. Extra columns are ignored. An empty table gives an empty result.
+    vectors without a label, link with nothing: n_links 0, own component. Rows without an id neither link nor count:
+    n_links 0, component_id null, kept false. Rows that repeat an id with an equal vector and label are one vector (each
+    row is returned); different vectors under one id are vectors of their own and count as such. Equal vectors are
+    recognised by 128 bits of hash, so that the result is joined without moving vectors again. Extra columns are
+    ignored. An empty table gives an empty result.
     """
-    v = vectors.select(
-        F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("embedding")
-    )
-    v = v.withColumn("ok", usable() & F.col("label").isNotNull())
-    v = v.withColumn("embedding", F.when(F.col("ok"), F.transform("embedding", lambda x: x + F.lit(0.0))))
-    classes = v.where("ok").groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
-    classes = table(classes.withColumn("dim", F.size("embedding")), "vectors")
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"  # floats travel as floats and are widened to compare
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(kind).alias("embedding"))
+    v = v.withColumn("ok", usable() & F.col("label").isNotNull() & F.col("id").isNotNull())
+    zero = F.lit(0.0).cast(kind[6:-1])
+    v = v.withColumn("embedding", F.when(F.col("ok"), F.transform("embedding", lambda x: x + zero)))
+    v = v.withColumn("key", F.struct("label", F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("h"), F.xxhash64(F.lit(1), "embedding").alias("g")))
+    classes = v.where("ok").groupBy("key").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("w"), F.first("embedding").alias("embedding"))
+    classes = table(classes.select("key", "key.label", "embedding", "rep", "w", "key.dim"), "vectors")
     basis = {d: axes(m) for d, m in moments(classes).items()}
     width = float(np.sqrt(max(2 - 2 * threshold, 1e-12))) + 1e-9
 
@@ -121,8 +130,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
             yield p.assign(**{f"c{k}": spots[:, k] for k in range(AXES)})
 
     cs = [f"c{k}" for k in range(AXES)]
-    schema = "label string, embedding array<double>, rep long, w long, dim int, " + ", ".join(f"{c} long" for c in cs)
-    placed = table(classes.mapInPandas(cells, schema), "cells")
+    schema = f"label string, embedding {kind}, rep long, w long, dim int, " + ", ".join(f"{c} long" for c in cs)
+    placed = table(classes.drop("key").mapInPandas(cells, schema), "cells")
     key = ["label", "dim", *cs]
     sizes = placed.groupBy(*key).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     blocks = sizes.select(*key, "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -158,11 +167,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     drop(tiles, placed)
     degrees = stars.groupBy("rep").agg(F.sum("degree").alias("degree"))
     comp = components(stars, "rep", "root").withColumnRenamed("node", "rep")
-    known = classes.join(degrees, "rep", "left").join(comp, "rep", "left")
-    known = known.select("label", "embedding", (F.coalesce("degree", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    good = v.where("ok").join(known, ["label", "embedding"], "left").select("id", F.col("n").alias("n_links"), F.col("c").alias("component_id"))
-    rest = v.where("NOT ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return good.union(rest).withColumn("kept", F.col("id") == F.col("component_id"))
+    known = classes.select("key", "rep", "w").join(degrees, "rep", "left").join(comp, "rep", "left")
+    known = table(known.select("key", (F.coalesce("degree", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("c")), "named")
+    drop(classes, stars, comp)
+    rows = table(v.select("id", F.when(F.col("ok"), F.col("key")).alias("key")), "keys")
+    out = look_up(rows, "key", known, "id").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
