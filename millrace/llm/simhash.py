@@ -15,16 +15,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 from math import ceil, comb, log2
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import drop, read, table
+from millrace.llm.common import drop, fresh, look_up, read, table
 from millrace.llm.graph import components, local_stars
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 NODE, BLOCK, DEEPEST = 256, 4096, 24
+#: Hot nodes, at most one for every ``BLOCK`` classes, that are broadcast; more are joined by a shuffle.
+FEW = 200_000
 #: Classes of a candidate group that a task compares with all others of the group.
 EXACT = 256
 #: Index pairs that a step of the local walk compares at once.
@@ -55,13 +61,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(id, fp) with fp the fingerprint as a signed long. Null and wordless texts get zero."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            fp = np.fromiter((fingerprint(t, shingle, seed) for t in p["_text"]), np.uint64, len(p))
-            yield pd.DataFrame({"id": p["_id"], "fp": fp.view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for b in batches:
+            fp = np.fromiter((fingerprint(t, shingle, seed) for t in b.column("_text").to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(fp.view(np.int64))], ["id", "fp"])
 
     src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return src.mapInPandas(run, "id long, fp long")
+    return src.mapInArrow(run, "id long, fp long")
 
 
 def _pairs(lo1, hi1, lo2, hi2, same) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -125,6 +133,13 @@ def walk(a: np.ndarray, b: np.ndarray | None, bits: int, budget: int) -> tuple[n
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
+def _hot(placed: DataFrame, *node: str) -> DataFrame:
+    """node, blocks: the nodes that hold more than ``BLOCK`` classes and the blocks they are split into."""
+    hot = placed.groupBy(*node).count().where(F.col("count") > BLOCK)
+    hot = table(hot.select(*node, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot")
+    return F.broadcast(hot) if hot.count() <= FEW else hot
+
+
 def links(classes: DataFrame, budget: int = 2) -> DataFrame:
     """Stars (a, b) that connect the classes whose fingerprints differ in 1 to ``budget`` bits.
 
@@ -137,8 +152,7 @@ def links(classes: DataFrame, budget: int = 2) -> DataFrame:
     low = 64 - depth
     node = F.shiftrightunsigned("fp", low) if depth else F.lit(0).cast("long")
     own = classes.withColumn("node", node)
-    hot = own.groupBy("node").count().where(F.col("count") > BLOCK)
-    hot = hot.select("node", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    hot = _hot(own, "node")
     own = own.join(hot, "node", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = own.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     tries = F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))
@@ -195,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     named = table(named.select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
     drop(classes, stars, comp)
-    out = fps.join(named, "fp", "left")
+    out = look_up(fps, "fp", named, "id")
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
@@ -316,8 +330,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     nodes = F.explode(F.array(*[F.struct(F.lit(t).alias("trie"), top(o).cast("long").alias("node")) for t, o in enumerate(orders)]))
     placed = classes.select(*words, "rep", nodes.alias("at")).select("at.trie", "at.node", *words, "rep")
-    hot = placed.groupBy("trie", "node").count().where(F.col("count") > BLOCK)
-    hot = hot.select("trie", "node", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    hot = _hot(placed, "trie", "node")
     seen = placed.join(hot, ["trie", "node"], "left").withColumn("of", F.pmod(F.xxhash64(*words), F.coalesce("blocks", F.lit(1))).cast("int"))
     seen = seen.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("of"))))
     seen = seen.select("trie", "node", "block", *words, "rep", (F.col("of") == F.col("block")).alias("owner"))
@@ -356,7 +369,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     named = classes.select("digest", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     named = table(named.select("digest", F.coalesce("component", "rep").alias("component_id")), "named")
     drop(classes, stars, maybe, grouped, edges, comp)
-    return sigs.join(named, "digest", "left").select("id", "component_id")
+    return look_up(sigs, "digest", named, "id").select("id", "component_id")
 
 
 def exact(src: DataFrame, grouped: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -422,5 +435,6 @@ def exact(src: DataFrame, grouped: DataFrame, shingle: int, similarity: float) -
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those that :func:`similar` groups with a smaller id; all columns stay. Rows with a null id stay."""
-    gone = similar(docs, id_col, text_col, **options).where("id != component_id").select(F.col("id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = fresh(docs, "gone")[0]
+    gone = similar(docs, id_col, text_col, **options).where("id != component_id").select(F.col("id").alias(name))
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
