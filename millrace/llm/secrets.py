@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import read
+from millrace.llm.common import fresh, read
 
 #: What stands before an assigned value: a name with one of the words in it, whatever segments precede or follow, and the sign.
 #: The name is consumed at once (possessive), so long names cost one pass; "author" or "tokenizer" don't hold a word.
@@ -155,22 +155,29 @@ def train(findings: DataFrame, trees: int = 15, depth: int = 5, seed: int = 7) -
 
 
 def candidates(text: Column, path: Column, forest: Forest, context: int = 40) -> Column:
-    """Array of structs (rule, value, score), one for each distinct candidate of a text, in order of appearance."""
-    every = "|".join(f"(?:{p})" for p in RULES.values())
-    raw = F.array_distinct(F.regexp_extract_all(text, F.lit(every), F.lit(0)))
+    """Array of structs (rule, value, score), one for each distinct candidate of a text, in order of appearance.
+
+    Every place of a candidate is judged by the text in front of it; the candidate has its places' highest score.
+    """
+    every = F.lit("|".join(f"(?:{p})" for p in RULES.values()))
     value_of = f"^{NAME}"
+    found = F.struct(F.regexp_extract_all(text, every, F.lit(0)).alias("raw"), F.split(text, "|".join(f"(?:{p})" for p in RULES.values()), -1).alias("between"))
+
+    def places(f: Column) -> Column:
+        # what stands before a place: the text since the place before it, and that place's own end
+        lead = lambda i: F.concat(F.coalesce(F.right(F.get(f["raw"], i - 1), F.lit(context)), F.lit("")), F.right(F.get(f["between"], i), F.lit(context)))
+        return F.transform(f["raw"], lambda x, i: F.struct(x.alias("raw"), F.right(lead(i), F.lit(context)).alias("lead")))
 
-    def name(raw_: Column) -> Column:
+    def name(x: Column) -> Column:
         rule = F.lit("long_token")
         for k in reversed([k for k in RULES if k != "long_token"]):
-            rule = F.when(raw_.rlike(f"^(?:{RULES[k]})" if k != "assignment" else value_of), F.lit(k)).otherwise(rule)
-        return F.struct(raw_.alias("raw"), rule.alias("rule"), F.instr(text, raw_).alias("at"))
+            rule = F.when(x["raw"].rlike(f"^(?:{RULES[k]})" if k != "assignment" else value_of), F.lit(k)).otherwise(rule)
+        return F.struct(x["raw"].alias("raw"), x["lead"].alias("lead"), rule.alias("rule"))
 
     def look(x: Column) -> Column:
-        value = F.when(x["rule"] == "assignment", F.regexp_replace(x["raw"], value_of, "")).otherwise(x["raw"])
-        start = F.greatest(x["at"] - context, F.lit(1))
-        lead = F.substr(text, start, x["at"] - start)
-        lead = F.when(x["rule"] == "assignment", F.concat(lead, F.regexp_extract(x["raw"], value_of, 0))).otherwise(lead)
+        assigned = x["rule"] == "assignment"
+        value = F.when(assigned, F.regexp_replace(x["raw"], value_of, "")).otherwise(x["raw"])
+        lead = F.when(assigned, F.concat(x["lead"], F.regexp_extract(x["raw"], value_of, 0))).otherwise(x["lead"])
         return F.struct(x["rule"].alias("rule"), value.alias("value"), lead.alias("before"))
 
     def measure(x: Column) -> Column:
@@ -180,7 +187,16 @@ def candidates(text: Column, path: Column, forest: Forest, context: int = 40) ->
     def judge(x: Column) -> Column:
         return F.struct(x["rule"].alias("rule"), x["value"].alias("value"), forest.score({k: x[k] for k in FEATURES}).alias("score"))
 
-    return F.transform(F.transform(F.transform(F.transform(raw, name), look), measure), judge)
+    def once(all_: Column) -> Column:
+        same = lambda x, y: (x["rule"] == y["rule"]) & (x["value"] == y["value"])
+        distinct = F.array_distinct(F.transform(all_, lambda x: F.struct(x["rule"].alias("rule"), x["value"].alias("value"))))
+        best = lambda x: F.array_max(F.transform(F.filter(all_, lambda y: same(x, y)), lambda y: y["score"]))
+        return F.transform(distinct, lambda x: F.struct(x["rule"].alias("rule"), x["value"].alias("value"), best(x).alias("score")))
+
+    # transform over one-element arrays names a value once, so it isn't computed for each use
+    placed = F.flatten(F.transform(F.array(found), places))
+    judged = F.transform(F.transform(F.transform(F.transform(placed, name), look), measure), judge)
+    return F.flatten(F.transform(F.array(judged), once))
 
 
 _FOREST: list = []
@@ -196,7 +212,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, id_col: str = "doc_id",
     """One row per candidate: id, finding (int, from 0), rule, value, score, is_secret (score > 0.5).
 
     Null and empty texts have no candidates; a null path counts as empty; rows with null or repeated ids keep
-    their rows. A value that stands several times in a text is one candidate. Extra columns are ignored.
+    their rows. A value that stands several times in a text is one candidate, judged at each of its places. Extra columns are ignored.
     """
     forest = forest or default_forest(docs.sparkSession)
     path = F.col(path_col) if path_col else F.lit("")
@@ -205,15 +221,22 @@ def scan(docs: DataFrame, forest: Forest | None = None, id_col: str = "doc_id",
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, text_col: str = "text", path_col: str | None = "source", mask: str = "[SECRET]") -> DataFrame:
-    """docs with every confirmed secret in the text replaced by ``mask``, wherever it stands; all other text stays."""
+    """docs with every confirmed secret in the text replaced by ``mask``; all other text and all columns stay.
+
+    A secret is masked wherever it stands, whatever stands before it there, but not inside a longer word.
+    """
     forest = forest or default_forest(docs.sparkSession)
     path = F.col(path_col) if path_col else F.lit("")
     found = F.filter(candidates(F.col(text_col), path, forest), lambda x: x["score"] > 0.5)
-    out = docs.withColumn("_found", found)
+    name = fresh(docs, "found")[0]
     # the longest first: a value may be part of another
-    longest = F.array_sort("_found", lambda a, b: F.length(b["value"]) - F.length(a["value"]))
-    hidden = F.aggregate(longest, F.col(text_col), lambda acc, x: F.replace(acc, x["value"], F.lit(mask)))
-    return out.withColumn(text_col, F.when(F.size("_found") > 0, hidden).otherwise(F.col(text_col))).drop("_found")
+    longest = F.array_sort(name, lambda a, b: F.length(b["value"]) - F.length(a["value"]))
+    quoted = lambda v: F.concat(F.lit(r"\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    left = lambda v: F.when(v.rlike("^[A-Za-z0-9]"), F.lit("(?<![A-Za-z0-9])")).otherwise("")
+    right = lambda v: F.when(v.rlike("[A-Za-z0-9]$"), F.lit("(?![A-Za-z0-9])")).otherwise("")
+    plain = mask.replace("\\", "\\\\").replace("$", "\\$")
+    hidden = F.aggregate(longest, F.col(text_col), lambda acc, x: F.regexp_replace(acc, F.concat(left(x["value"]), quoted(x["value"]), right(x["value"])), F.lit(plain)))
+    return docs.withColumn(name, found).withColumn(text_col, F.when(F.size(name) > 0, hidden).otherwise(F.col(text_col))).drop(name)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
