@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ascii_lower, drop, read, table
+from millrace.llm.common import ascii_lower, drop, look_up, read, table
 from millrace.llm.graph import components
 
 Rule = tuple[str, str, str]
@@ -104,7 +104,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     comp = components(edges)
     judged = comp.withColumn("r", rule_of(host_of(F.col("node")), path_of(F.col("node")), rules))
     blocked = judged.where("r.verdict = 'block'").select("component").distinct()
-    bad = table(comp.join(blocked, "component", "left_semi").select("node").distinct(), "blocked")
+    bad = table(look_up(comp, "component", blocked, "node", "inner").select("node").distinct(), "blocked")
     drop(edges, comp)
     own = p.select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     own = own.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("key", F.when(F.col("r").isNull() & F.col("url").contains("://"), _node(F.col("url"))))
