@@ -34,6 +34,8 @@ ZERO_WIDTH = "​‌‍⁠﻿­"
 _FULL = {chr(0xFF41 + k): chr(97 + k) for k in range(26)} | {chr(0xFF10 + k): str(k) for k in range(10)}
 _MAP = {k: HOMOGLYPHS.get(v, v) for k, v in (_FULL | HOMOGLYPHS).items()}
 PREFIXES = (4, 5, 6, 7, 8)
+#: Terms that are broadcast to be counted in clean lines; more are joined by a shuffle.
+BROADCAST = 500_000
 
 
 def folded(text: str | Column) -> Column:
@@ -91,13 +93,14 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000, min_support: int = 4, max_terms: int = 20_000, min_weight: float = 2.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000, min_support: int = 4, min_weight: float = 2.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """Fit a lexicon on the labelled rows that are not held out.
 
     At most about ``max_labelled`` of them are used, chosen by a hash of the id, so the join with texts is a broadcast
-    of bounded size. Terms below ``min_weight`` are left out: rare words that copies or chance put into toxic texts. Of
-    several labels of an id the largest counts; null labels and ids are left out. Without toxic rows the lexicon is
-    empty and the curve gives a low constant.
+    of bounded size. Terms that stand in fewer than ``min_support`` toxic lines or weigh less than ``min_weight`` are left out:
+    rare words that copies or chance put into toxic texts. All others are kept; they are weighed by the cluster, and
+    since the labelled rows are bounded, so is the lexicon. Of several labels of an id the largest counts; null labels
+    and ids are left out. Without toxic rows the lexicon is empty and the curve gives a low constant.
     """
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     y = y.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
@@ -127,18 +130,19 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000, min_su
     whole = F.transform("words", lambda w: F.struct(w.alias("term"), w.alias("word")))
     named = F.explode(F.concat(whole, *[pairs(k) for k in PREFIXES])).alias("p")
     toxic = train.where("_y = 1").select(F.explode("lines").alias("line")).distinct()
-    clean = train.where("_y = 0").select(F.explode("lines").alias("line"))
+    clean = train.where("_y = 0").select(F.explode("lines").alias("line")).distinct()
     n_toxic, n_clean = toxic.count(), clean.count()
     # a prefix stands for different words; that of a single word would only blur it
     support = toxic.select(words.alias("words")).select(named).select("p.*").groupBy("term")
     support = support.agg(F.count("*").alias("t"), (F.min("word") != F.max("word")).alias("varied")).where(F.col("t") >= min_support)
     support = support.where(~F.endswith("term", F.lit("*")) | F.col("varied")).select("term", "t")
-    support = table(support.orderBy(F.desc("t"), "term").limit(max_terms), "toxic-terms")
-    against = clean.select(words.alias("words")).select(terms).join(F.broadcast(support), "term").groupBy("term").agg(F.count("*").alias("n"))
-    counted = support.join(against, "term", "left").na.fill(0, ["n"]).toPandas()  # at most max_terms rows
-    t, c = counted["t"].to_numpy(float) + 0.5, counted["n"].to_numpy(float) + 0.5
-    w = np.log(t / (n_toxic + 1)) - np.log(c / (n_clean + 1)) - 2 * np.sqrt(1 / t + 1 / c)
-    lex = Lexicon({k: float(v) for k, v in zip(counted["term"], w, strict=True) if v >= min_weight})
+    support = table(support, "toxic-terms")
+    named_terms = F.broadcast(support) if support.count() <= BROADCAST else support
+    against = clean.select(words.alias("words")).select(terms).join(named_terms, "term").groupBy("term").agg(F.count("*").alias("n"))
+    t, c = F.col("t") + 0.5, F.coalesce("n", F.lit(0)) + 0.5
+    w = F.log(t / (n_toxic + 1)) - F.log(c / (n_clean + 1)) - 2 * F.sqrt(1 / t + 1 / c)
+    weighed = support.join(against, "term", "left").select("term", w.alias("w")).where(F.col("w") >= min_weight).toPandas()
+    lex = Lexicon(dict(zip(weighed["term"], weighed["w"].astype(float), strict=True)))
 
     def around(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         auto = lex.automaton()
@@ -153,28 +157,27 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000, min_su
 
     one = train.select("_y", F.explode("lines").alias("line"))
     phrases = one.mapInPandas(around, "phrase string, y int").groupBy("phrase").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("n"))
-    spared = phrases.where(F.col("n") >= 3).where("n > 4 * t + 2").orderBy(F.desc("n"), "phrase").limit(max_terms).toPandas()
+    spared = phrases.where(F.col("n") >= 3).where("n > 4 * t + 2").orderBy("phrase").toPandas()
     lex.exceptions = spared["phrase"].tolist()
 
-    bins = levels(train.select("_y", F.concat_ws("", "lines").alias("text")), lex).groupBy("_y", F.round("x", 2).alias("x")).count().toPandas()
+    levels = train.select("_y", level_of(F.concat_ws("", "lines"), lex).alias("x"))
+    bins = levels.groupBy("_y", F.round("x", 2).alias("x")).count().toPandas()
     drop(train, support)
     if bins["_y"].nunique() == 2:
         lex.slope, lex.intercept = logistic(bins["x"].to_numpy(), bins["_y"].to_numpy(), bins["count"].to_numpy())
     return lex
 
 
-def levels(rows: DataFrame, lex: Lexicon, text_col: str = "text") -> DataFrame:
-    """Replace a folded text by x, its normalised lexicon weight; other columns stay."""
-    others = [f for f in rows.schema.fields if f.name != text_col]
+def level_of(text: Column, lex: Lexicon) -> Column:
+    """The normalised lexicon weight of a folded text; only that text goes through Python."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         auto = lex.automaton()
         for p in parts:
-            x = [level(sum(hits(auto, t).values()), t.count(" ")) if isinstance(t, str) else 0.0 for t in p[text_col]]
-            yield p.drop(columns=text_col).assign(x=x)
+            yield pd.Series([level(sum(hits(auto, t).values()), t.count(" ")) if isinstance(t, str) else 0.0 for t in p], dtype=float)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "x double"])
-    return rows.mapInPandas(run, schema)
+    return run(text)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -193,15 +196,16 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]
 
 
 def score(docs: DataFrame, lex: Lexicon, text_col: str = "text", out: str = "score") -> DataFrame:
-    """Add a score from 0 to 1 to every row; null and empty texts have the curve's value at no hits."""
-    others = [c for c in docs.columns if c != text_col]
-    rows = levels(docs.select(*others, folded(text_col).alias(text_col)), lex, text_col)
-    p = 1 / (1 + F.exp(-(F.col("x") * F.lit(lex.slope) + F.lit(lex.intercept))))
-    return rows.select(*others, p.alias(out))
+    """Add a score from 0 to 1 to every row; a column of that name is replaced, all others stay, whatever their names.
+
+    Null and empty texts have the curve's value at no hits. Whole texts are scored.
+    """
+    x = level_of(folded(text_col), lex)
+    return docs.withColumn(out, 1 / (1 + F.exp(-(x * F.lit(lex.slope) + F.lit(lex.intercept)))))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """id, held_out, score, predicted for every row of docs. Extra columns are ignored; repeated ids keep their rows."""
+    """id, held_out, score, predicted for every row of docs. Extra columns are ignored; repeated and null ids keep their rows."""
     lex = learn(docs, labels, id_col=id_col, text_col=text_col, **options)
     got = score(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), lex)
     return got.select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
