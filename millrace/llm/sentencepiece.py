@@ -20,8 +20,9 @@ import re
 import sys
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
+from itertools import islice
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -38,6 +39,7 @@ if TYPE_CHECKING:
 SPACE = "▁"
 #: Rows of a block, hash slots that units are dealt out by, and bytes of ids that are put into one batch.
 BLOCK_ROWS, SLOTS, AT_ONCE = 8192, 4096, 64 << 20
+ENCODED = "id long, ids array<int>, text string"
 #: An edge of a lattice is one long: start, length and id.
 START, SIZE = 38, 28
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -180,6 +182,13 @@ class Pieces:
         cut = ~inside[kinds[:-1], kinds[1:]] & ~space[:-1] & ~space[1:]
         return np.insert(chars, np.flatnonzero(cut) + 1, 32).tobytes().decode("utf-32-le")
 
+    def parts(self, words: Iterable[str]) -> set[str]:
+        """The distinct parts of words, some at a time to save memory."""
+        words, out = iter(words), set()
+        while some := list(islice(words, 50_000)):
+            out.update(self.split(some).replace("  ", " ").split(" "))
+        return out
+
     def units(self, text: str) -> list[str]:
         """The parts of a text's units in order; joined they are the escaped text with a space put in front."""
         return self.split(self.words(text)).replace("  ", " ").split(" ") if text else []
@@ -307,11 +316,12 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int]]:
             yield int(block[lo]), lo, hi
 
 
-def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", then: Callable | None = None, schema: str = ENCODED) -> DataFrame:
     """(id, ids, text) with ids the piece ids of the text. Null and empty texts have no ids (text stays as it is).
 
     Whole texts are encoded, whatever their length. Rows with null or repeated ids keep their rows; extra columns are ignored.
-    An empty table gives an empty result.
+    An empty table gives an empty result. ``then`` may turn the batches of (id, ids, text) into others of ``schema`` in the
+    same worker, so that ids and texts don't travel further.
     """
     import pyarrow as pa
 
@@ -320,15 +330,13 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def slots(block: int, words: set[str]) -> pa.RecordBatch:
-            whole = pieces.split(words)
             by_slot: dict[int, list[str]] = {}
-            for u in set(whole.replace("  ", " ").split(" ")):
+            for u in pieces.parts(words):
                 by_slot.setdefault(zlib.crc32(u.encode()) % SLOTS, []).append(u)
-            names = [*by_slot, -1]  # slot -1 holds the block's words
-            joined = [*(" ".join(us) for us in by_slot.values()), whole]
+            joined = [" ".join(us) for us in by_slot.values()]
             return pa.RecordBatch.from_arrays([
-                pa.array(names, pa.int32()), pa.array([block] * len(names), pa.int64()), pa.array(joined, pa.string()),
-                pa.array([*map(len, by_slot.values()), 0], pa.int64())
+                pa.array(list(by_slot), pa.int32()), pa.array([block] * len(joined), pa.int64()), pa.array(joined, pa.string()),
+                pa.array(list(map(len, by_slot.values())), pa.int64())
             ], ["slot", "block", "units", "n"])
 
         at, words = None, set()
@@ -350,8 +358,8 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     # thousand units, since each group costs a call
     n = used.agg(F.sum("n")).first()[0] or 0
     n_parts, group = max(1, n // 40_000), F.pmod(F.col("slot"), F.lit(max(1, min(SLOTS, n // 10_000))))
-    dealt = used.where("slot >= 0").select(group.alias("group"), "block", "units").repartition(n_parts, "group")
-    asking = used.where("slot >= 0").select(group.alias("place"), "block", "units").repartition(n_parts, "place")  # the same exchange
+    dealt = used.select(group.alias("group"), "block", "units").repartition(n_parts, "group")
+    asking = used.select(group.alias("place"), "block", "units").repartition(n_parts, "place")  # the same exchange
     units = dealt.select("group", F.explode(F.split("units", " ")).alias("unit")).distinct()
     bpe = pieces.bpe
     solved = lattice(units, pieces, ["group", "unit"]) if bpe else segment(units, pieces, False, ["group", "unit"])
@@ -371,7 +379,6 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
         return pd.DataFrame({"block": asked["block"], "units": asked["units"], "ids": packed})
 
     filled = asking.groupBy("place").cogroup(solved.groupBy("group")).applyInPandas(fill, "block long, units string, ids binary")
-    filled = filled.union(used.where("slot < 0").select("block", "units", F.lit(None).cast("binary")))
     folder = f"{shared_dir(docs.sparkSession)}/millrace/dictionary-{uuid.uuid4().hex}"
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,37 +420,37 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
         from millrace.llm.warc import filesystem
 
         fs, root = filesystem(folder)
-        at, known = None, {}
+        at, known, parts = None, {}, {}
 
-        def load(block: int) -> dict[str, bytes]:
-            """Ids of the block's words as little-endian bytes."""
+        def load(block: int) -> tuple[dict[str, bytes], dict[str, bytes]]:
+            """Ids of the block's parts as little-endian bytes: those that begin a word by the word alone, others by themselves."""
             with fs.open_input_file(f"{root}/{block & 0xFFF:03x}/{block & (1 << 64) - 1:016x}") as f:
                 got = pq.read_table(f)
-            ids_of, words, out = {}, [], {}
+            words, rests = {}, {}
             for us, packed in zip(got["units"].to_pylist(), got["ids"].to_pylist(), strict=True):
-                if packed is None:
-                    words.append(us)
-                    continue
                 names, data = us.split(" "), zlib.decompress(packed)
                 ends = np.cumsum(np.frombuffer(data, "<u4", len(names))) + 4 * len(names)
                 spans = map(slice, [4 * len(names), *ends[:-1].tolist()], ends.tolist())
-                ids_of.update(zip(names, map(data.__getitem__, spans), strict=True))
-            get = ids_of.__getitem__
-            for w in (w for ws in words for w in ws.split("  ")):
-                if " " in w:
-                    out[w.replace(" ", "")[1:]] = b"".join(map(get, w.split(" ")))
-                else:
-                    out[w[1:]] = get(w)
-            return out
+                for u, ids in zip(names, map(data.__getitem__, spans), strict=True):
+                    if u[0] == SPACE:
+                        words[u[1:]] = ids
+                    rests[u] = ids
+            return words, rests
 
         for batch in batches:
             texts, data = batch.column("text").to_pylist(), [b""] * batch.num_rows
             for block, lo, hi in _runs(batch):
-                for k in range(lo, hi):
-                    if texts[k]:
-                        if block != at:
-                            at, known = block, load(block)
-                        data[k] = b"".join(map(known.__getitem__, pieces.words(texts[k])))
+                full = [k for k in range(lo, hi) if texts[k]]
+                for some in (full[k : k + 64] for k in range(0, len(full), 64)):
+                    if block != at:
+                        at, (known, parts) = block, load(block)
+                    words = [pieces.words(texts[k]) for k in some]
+                    lack = list(set().union(*words).difference(known))
+                    if lack:  # words of several parts, put together when they are first met
+                        get = parts.__getitem__
+                        known.update(zip(lack, [b"".join(map(get, w.split(" "))) for w in pieces.split(lack).split("  ")], strict=True))
+                    for k, ws in zip(some, words, strict=True):
+                        data[k] = b"".join(map(known.__getitem__, ws))
             # lists of bounded size are built at once
             lo = 0
             while lo < len(data):
@@ -456,7 +463,7 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([part.column("id"), ids, part.column("text")], ["id", "ids", "text"])
                 lo = hi
 
-    return src.mapInArrow(look_up, "id long, ids array<int>, text string")
+    return src.mapInArrow((lambda batches: then(look_up(batches))) if then else look_up, schema)
 
 
 def decode(rows: DataFrame, model: str | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -472,11 +479,16 @@ def decode(rows: DataFrame, model: str | None = None, ids_col: str = "ids", out:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (ids as little-endian unsigned 32-bit) and round_trip for every document."""
-    rows = decode(encode(read(spark, sf_dir, "documents")))
+    pieces = Pieces(model_path())
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: zlib.crc32(np.asarray(x, "<u4").tobytes()))
+        for b in batches:
+            ids, ends = b.column("ids").values.to_numpy(), b.column("ids").offsets.to_numpy()
+            rows = [ids[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+            same = [pieces.decode(r) == (t or "") for r, t in zip(rows, b.column("text").to_pylist(), strict=True)]
+            crc = [zlib.crc32(r.astype("<u4").tobytes()) for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(map(len, rows)), pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
 
-    same = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
-    return rows.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), crc("ids").alias("ids_crc32"), same.alias("round_trip"))
+    return encode(read(spark, sf_dir, "documents"), then=digests, schema="doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
