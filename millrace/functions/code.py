@@ -6,18 +6,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import headers
 from millrace.functions.text import CONTROL_TOKENS, OPERATORS, col, normalize_text, strip
 
-# Types that don't count as identifiers, assertions and smells of generated tests.
+# Types that don't count as identifiers, assertions and smells of generated tests, and the form of a signature.
 COMMON_TYPES = ["String", "Integer", "Boolean", "Long", "Double", "Float", "Object", "List", "Map", "Set", "Exception"]
 ASSERTIONS = ["assertEquals", "assertTrue", "assertFalse", "assertNull", "assertNotNull", "assertThrows", "assertThat", "verify"]
 ASSERTION_MARKERS = ["@Test", "assert", "Assert.", "Assertions.", "assertEquals", "assertTrue", "assertFalse", "assertNotNull", "assertNull", "fail("]
 SMELLS = [r"assertTrue\s*\(\s*true\s*\)", r"true\s*==\s*true", r"assertEquals\s*\(\s*1\s*,\s*1\s*\)"]
-METHOD = r"(?U)(?:public|private|protected|static|final|synchronized|\s)+[\w<>\[\], ?]+\s+(\w+)\s*\(([^)]*)\)\s*\{"
-TARGET = r"(?U)(?:public|private|protected|static|\s)+[\w<>\[\], ?]+\s+(\w+)\s*\("
 SIGNATURE = r"\b(boolean|byte|short|int|long|float|double|char|void|String|[A-Za-z_$][A-Za-z0-9_$<>.?\[\]]*)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*\(([^)]*)\)"
-#: Methods whose header is longer than this are not looked for, which bounds the matcher's work.
-LONGEST = 1_000_000
 
 
 def text_lines(c: Column | str) -> Column:
@@ -47,47 +44,28 @@ def identifier_reuse(c: Column | str) -> Column:
     return F.when(F.size(names) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - share)))
 
 
-def parameter_counts(c: Column | str) -> Column:
-    lists = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(METHOD), F.lit(2))
-    return F.transform(lists, lambda p: F.size(F.filter(F.split(p, ","), lambda x: strip(x) != "")))
+def methods(c: Column | str) -> Column:
+    """Array of (parameters, lines) of the methods of a code column (an Arrow function, see :mod:`millrace.functions.headers`)."""
 
+    @F.pandas_udf("array<struct<parameters:int,lines:int>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"parameters": p, "lines": n} for p, n in headers.methods(t)])
 
-def method_lengths(c: Column | str) -> Column:
-    """Lines of each method, from its header to the brace that closes it (an Arrow function: offsets are needed)."""
-    @F.pandas_udf("array<int>")
-    def lengths(texts: pd.Series) -> pd.Series:
-        import re
-
-        header = re.compile(METHOD.removeprefix("(?U)"))
-
-        def one(t: str | None) -> list[int]:
-            out = []
-            for m in header.finditer(t or ""):
-                depth, stop = 0, None
-                for b in re.compile(r"[{}]").finditer(t, m.start()):
-                    depth += 1 if b.group() == "{" else -1
-                    if depth == 0 and b.group() == "}":
-                        stop = b.start()
-                        break
-                out.append(1 if stop is None else max(1, t.count("\n", m.start(), stop) + 1))
-            return out
-
-        return texts.map(one)
-
-    return lengths(col(c))
+    return found(col(c))
 
 
 def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
-def code_metrics(c: Column | str, lengths: Column | None = None) -> dict[str, Column]:
-    """The metrics of one code column. Give ``lengths`` (see :func:`method_lengths`) to have those of methods too."""
+def code_metrics(c: Column | str, of: Column | None = None) -> dict[str, Column]:
+    """The metrics of one code column; ``of`` are its :func:`methods`, where they are computed already."""
+    of = methods(c) if of is None else of
     t = F.coalesce(col(c), F.lit(""))
     ls = text_lines(t)
     filled = F.filter(ls, lambda x: strip(x) != "")
     comment = F.filter(filled, lambda x: strip(x).rlike(r"^(//|/\*|\*)"))
-    params = parameter_counts(t)
+    params, lengths = of["parameters"], of["lines"]
     mean = lambda a: F.when(F.size(a) == 0, 0.0).otherwise(F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a))
     sizes = F.transform(ls, lambda x: F.length(x))
     classes = F.array_except(F.regexp_extract_all(t, F.lit(r"(?U)\b[A-Z][A-Za-z0-9_]+\b"), F.lit(0)), F.array(*map(F.lit, COMMON_TYPES)))
@@ -114,9 +92,7 @@ def code_metrics(c: Column | str, lengths: Column | None = None) -> dict[str, Co
         "local_variable_count_proxy": count(t, r"\b(?:String|int|long|double|float|boolean|var|List|Map|Set)\s+\w+\s*(?:=|;)"),
         "identifier_reuse_proxy": identifier_reuse(t),
     }
-    if lengths is not None:
-        out |= {"avg_method_length_proxy": mean(lengths), "max_method_length_proxy": F.coalesce(F.array_max(lengths), F.lit(0))}
-    return out
+    return out | {"avg_method_length_proxy": mean(lengths), "max_method_length_proxy": F.coalesce(F.array_max(lengths), F.lit(0))}
 
 
 def clip(c: Column, low: float = 0.0, high: float = 10.0) -> Column:
@@ -151,7 +127,10 @@ def refactoring_quality(non_empty: Column, differs: Column, similarity: Column,
 
 
 def edit_similarity(a: Column | str, b: Column | str) -> Column:
-    """Ratio of matching blocks of two texts, as the standard library's difflib counts it (an Arrow function)."""
+    """Ratio of matching blocks of two texts, as the standard library's difflib counts it (an Arrow function).
+
+    Its time grows with the product of the two lengths in the worst case; it is meant for answers, not for corpora.
+    """
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
@@ -162,15 +141,25 @@ def edit_similarity(a: Column | str, b: Column | str) -> Column:
 
 
 def target_method(given: Column | str, *named: Column) -> Column:
-    found = F.regexp_extract(F.coalesce(col(given), F.lit("")), TARGET, 1)
-    return F.coalesce(*[F.when(n != "", n) for n in named], F.when(found != "", found))
+    """The first name that is given, else that of the first header in the code; null without either."""
+
+    @F.pandas_udf("string")
+    def first(texts: pd.Series) -> pd.Series:
+        return texts.map(headers.first_name)
+
+    return F.coalesce(*[F.when(n != "", n) for n in named], first(col(given)))
 
 
 def trivial_test(c: Column | str) -> Column:
-    """Empty, nothing but comments, or an assertion that always holds."""
+    """Blank, a comment from the first character on, or an assertion that always holds.
+
+    A text that begins with a line comment counts as comment to its end; one that begins with a block comment does if
+    nothing or a line comment follows one of the places where a block ends.
+    """
     t = F.coalesce(col(c), F.lit(""))
-    rest = F.regexp_replace(F.regexp_replace(t, r"(?s)/\*.*?\*/", ""), r"(?m)//.*$", "")
-    return (strip(rest) == "") | t.rlike("|".join(SMELLS))
+    bare = strip(t)
+    comment = F.startswith(bare, F.lit("//")) | bare.rlike(r"(?sU)\A/\*.*\*/\s*+(?://.*)?\z")
+    return (bare == "") | comment | t.rlike("|".join(SMELLS))
 
 
 def test_metrics(given: Column | str, prediction: Column | str, *named: Column) -> dict[str, Column]:
@@ -248,6 +237,6 @@ def name_bonus(a: Column, b: Column) -> Column:
 
 
 def with_code_metrics(df: DataFrame, c: str, prefix: str) -> DataFrame:
-    """Add the code metrics of a column, names prefixed; method lengths are computed once."""
-    df = df.withColumn("_lengths", method_lengths(c))
-    return df.withColumns({f"{prefix}{k}": v for k, v in code_metrics(c, F.col("_lengths")).items()}).drop("_lengths")
+    """Add the code metrics of a column, names prefixed; methods are looked for once."""
+    df = df.withColumn("_methods", methods(c))
+    return df.withColumns({f"{prefix}{k}": v for k, v in code_metrics(c, F.col("_methods")).items()}).drop("_methods")

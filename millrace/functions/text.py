@@ -14,6 +14,7 @@ STOPWORDS = [
 ]
 CONTROL_TOKENS = ["if", "else", "for", "while", "switch", "try", "catch", "throw"]
 OPERATORS = ["==", "!=", ">=", "<=", "&&", "||", "+", "-", "*", "/", "%"]
+# Headings of queries and evidence, and names of secrets.
 QUERY_MARKERS = ["Production Java code:\n", "Original Java code:\n"]
 EVIDENCE_MARKERS = ["\n\nCorresponding test code:\n", "\n\nRefactored Java code:\n"]
 SECRET_NAMES = r"api[_-]?key|authorization|bearer|token|secret|password"
@@ -23,13 +24,17 @@ SECRET_NAMES = r"api[_-]?key|authorization|bearer|token|secret|password"
 JAVA_TOKEN = r"""(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|//[^\n]*+|/\*.*?\*/|[A-Za-z_$][A-Za-z0-9_$]*+|[0-9]++(?:\.[0-9]++)?|\S"""
 
 
+#: All white space, as the engine's regular expressions see it.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def strip(c: Column | str) -> Column:
-    """Drop all leading and trailing white space (``trim`` drops spaces alone)."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Drop all leading and trailing white space (``trim`` drops spaces alone). Linear in the text, whatever runs it holds."""
+    return F.btrim(col(c), F.lit(WHITE))
 
 
 def normalize_text(c: Column | str) -> Column:
@@ -40,7 +45,7 @@ def normalize_text(c: Column | str) -> Column:
 def normalize_content(c: Column | str) -> Column:
     """Line ends to LF, spaces and tabs at line ends dropped, ends stripped."""
     unix = F.replace(F.replace(col(c), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return strip(F.regexp_replace(unix, r"(?m)[ \t]+$", ""))
+    return strip(F.regexp_replace(unix, r"(?m)(?<![ \t])[ \t]++$", ""))
 
 
 def content_hash(c: Column | str) -> Column:

@@ -41,12 +41,12 @@ def hashed_terms(c: Column | str, dim: int = 64) -> Column:
     """Array of structs (idx, sign), one for each word: the hashed bag of words of the offline embedding."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+"), F.lit(0))
 
-    def term(t: Column) -> Column:
-        h = F.sha2(t, 256)
+    def term(h: Column) -> Column:
         sign = F.when(F.conv(F.substring(h, 10, 1), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
         return F.struct((F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int").alias("idx"), sign.alias("sign"))
 
-    return F.transform(tokens, term)
+    # hashed by a transform of its own, so that a word is hashed once
+    return F.transform(F.transform(tokens, lambda t: F.sha2(t, 256)), term)
 
 
 def hashed_embedding(c: Column | str, dim: int = 64) -> Column:

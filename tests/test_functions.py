@@ -63,8 +63,7 @@ def test_text_lines_match_splitlines(spark, src):
 
 def test_method_lengths_and_parameters(spark):
     src = "public int f(int a, int b) {\n  do {\n }\n return 1;\n}\n\nprivate void g() {\n}\n"
-    assert one(spark, src, code.method_lengths) == [5, 4]  # white space before a header is part of its match
-    assert one(spark, src, code.parameter_counts) == [2, 0]
+    assert [tuple(m) for m in one(spark, src, code.methods)] == [(2, 5), (0, 4)]  # white space before a header is part of its match
 
 
 def test_edit_similarity_is_difflibs(spark):
