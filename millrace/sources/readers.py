@@ -140,26 +140,52 @@ def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "source_file string, page int, text string, error string")
 
 
+# What benchmark cases ask for.
+TESTING_INSTRUCTION = (
+    "Generate one complete, compilable JUnit Jupiter test class for the target Java method. "
+    "Include the package declaration, required imports, test class, and meaningful assertions. "
+    "Return only Java source code without explanations."
+)
+REFACTORING_INSTRUCTION = "Refactor the supplied Java code while preserving its behavior. Requested refactoring type: {}. Return the refactored code."
+
+
 def unit_test_cases(spark: SparkSession, path: str, level: str = "source") -> DataFrame:
-    """Benchmark cases of ``*_out.json`` lists: case_id from slugs and place, input from the chosen context level."""
+    """Benchmark cases of ``*_out.json`` lists: case_id from slugs and place, input with the chosen level of context.
+
+    A project without a name is its file's; a class or method without one is ``class`` or ``method``, and a name of no usable
+    character is ``unknown``.
+    """
     if level not in ("source", "simple", "full"):
         raise ContractError(f"unknown context level {level!r}")
     names = ["project_name", "package", "class_name", "method_name", "file_name", "relative_path", "execute_path", "source_code", "simple_context", "full_context"]
     rows = json_records(spark, f"{path}/*_out.json", ", ".join(f"{n} string" for n in names))
-    body = F.col({"source": "source_code", "simple": "simple_context", "full": "full_context"}[level])
-    ident = F.concat_ws("-", slug("project_name"), slug("class_name"), slug("method_name"), F.col("ordinal").cast("string"))
-    lead = F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), F.col(c)) for k, c in (("Package", "package"), ("Class", "class_name"), ("Method", "method_name"))])
-    return rows.select(ident.alias("case_id"), F.lit("testing").alias("task"), F.concat_ws("\n\n", lead, body).alias("input"), *names)
+    stem = F.regexp_replace(F.element_at(F.split("source_file", "/"), -1), r"_out\.json$", "")
+    named = lambda c, other: F.coalesce(F.nullif(slug(strip(F.coalesce(F.col(c), other))), F.lit("")), F.lit("unknown"))
+    parts = [named("project_name", stem), named("class_name", F.lit("class")), named("method_name", F.lit("method"))]
+    text = lambda c: strip(F.coalesce(F.col(c), F.lit("")))
+    body = [F.concat(F.lit(f"Target {k}: "), text(c)) for k, c in (("package", "package"), ("class", "class_name"), ("method", "method_name"))]
+    body.append(F.concat(F.lit("\nJava source under test:\n"), text("source_code")))
+    if level != "source":
+        body.append(F.when(text(f"{level}_context") != "", F.concat(F.lit(f"\n{level.title()} project context:\n"), text(f"{level}_context"))))
+    ident = F.concat_ws(":", F.lit("testbench"), *parts, F.col("ordinal").cast("string"))
+    return rows.select(ident.alias("case_id"), F.lit("testing").alias("task"), F.lit(TESTING_INSTRUCTION).alias("instruction"), F.concat_ws("\n", *body).alias("input"), F.lit(level).alias("context_level"), "source_file", *names)
 
 
 def refactoring_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Pure refactorings with code before and after, the method's where there is one, else the file's."""
+    """Pure refactorings with code before and after, the method's where there is one, else the file's.
+
+    case_id is the record's own id after ``swe-refactor:``, its place in the file where it has none.
+    """
     schema = "uniqueId string, type string, projectName string, commitId string, sourceCodeBeforeRefactoring string, sourceCodeAfterRefactoring string, sourceCodeBeforeForWhole string, sourceCodeAfterForWhole string, isPureRefactoring boolean"
     rows = json_records(spark, path, schema).where("isPureRefactoring")
-    pick = lambda *cs: F.coalesce(*[F.when(strip(c) != "", F.col(c)) for c in cs])
+    pick = lambda *cs: F.coalesce(*[F.when(strip(c) != "", strip(c)) for c in cs], F.lit(""))
+    kind = strip(F.coalesce("type", F.lit("unspecified refactoring")))
+    before, after = REFACTORING_INSTRUCTION.split("{}")
     return rows.select(
-        F.col("uniqueId").alias("case_id"), F.lit("refactoring").alias("task"), F.col("type").alias("refactoring_type"),
+        F.concat(F.lit("swe-refactor:"), F.coalesce(F.nullif(strip("uniqueId"), F.lit("")), F.col("ordinal").cast("string"))).alias("case_id"),
+        F.lit("refactoring").alias("task"), kind.alias("refactoring_type"), F.concat(F.lit(before), kind, F.lit(after)).alias("instruction"),
         pick("sourceCodeBeforeRefactoring", "sourceCodeBeforeForWhole").alias("input"), pick("sourceCodeAfterRefactoring", "sourceCodeAfterForWhole").alias("reference"),
+        F.coalesce("projectName", F.lit("")).alias("project"), F.coalesce("commitId", F.lit("")).alias("commit_sha"),
         (F.coalesce(strip("sourceCodeBeforeRefactoring"), F.lit("")) == "").alias("whole_file"),
     )
 

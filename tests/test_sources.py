@@ -45,10 +45,18 @@ def test_zip_pairs(spark, tmp_path):
 
 def test_benchmarks(spark, tmp_path):
     (tmp_path / "x_out.json").write_text(json.dumps([{"project_name": "my proj", "class_name": "A", "method_name": "f", "source_code": "code"}]))
-    assert readers.benchmark(spark, "unit-tests", str(tmp_path)).first().case_id == "my-proj-A-f-0"
+    assert readers.benchmark(spark, "unit-tests", str(tmp_path)).first().case_id == "testbench:my-proj:A:f:0"
+    (tmp_path / "y_out.json").write_text(json.dumps([{"class_name": " ", "source_code": " s ", "full_context": "c"}]))
+    r = readers.benchmark(spark, "unit-tests", str(tmp_path / "."), level="full").where("source_file LIKE '%y_out%'").first()
+    assert r.case_id == "testbench:y:unknown:method:0" and r.input == "Target package: \nTarget class: \nTarget method: \n\nJava source under test:\ns\n\nFull project context:\nc"
+    rows = [{"isPureRefactoring": False}, {"isPureRefactoring": True, "uniqueId": " ", "sourceCodeBeforeForWhole": " w ", "type": "Move Method"}, {"isPureRefactoring": True, "uniqueId": "u", "sourceCodeBeforeRefactoring": "m"}]
+    (tmp_path / "pure.json").write_text(json.dumps(rows))
+    got = {r.case_id: r for r in readers.benchmark(spark, "refactorings", str(tmp_path / "pure.json")).collect()}
+    assert set(got) == {"swe-refactor:1", "swe-refactor:u"} and got["swe-refactor:1"].input == "w" and got["swe-refactor:1"].whole_file and "type: Move Method. Return" in got["swe-refactor:1"].instruction
+    assert got["swe-refactor:u"].refactoring_type == "unspecified refactoring" and not got["swe-refactor:u"].whole_file
     (tmp_path / "r.json").write_text(json.dumps([{"uniqueId": "1", "sourceCodeBeforeRefactoring": " ", "sourceCodeBeforeForWhole": "w", "isPureRefactoring": True}, {"uniqueId": "2", "isPureRefactoring": False}]))
     got = readers.benchmark(spark, "refactorings", str(tmp_path / "r.json")).collect()
-    assert [(r.case_id, r.input, r.whole_file) for r in got] == [("1", "w", True)]
+    assert [(r.case_id, r.input, r.whole_file) for r in got] == [("swe-refactor:1", "w", True)]
 
 
 def test_adapters(spark, tmp_path):
