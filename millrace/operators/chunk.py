@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import boundary_key, col, content_hash, strip
+from millrace.functions.text import boundary_key, col, content_hash, joined_hash, strip
 
+#: Fixed value: the form of a method's head.
 METHOD_HEAD = (
     r"(?m)^\s*(?:@[A-Za-z_$][A-Za-z0-9_$.]*(?:\([^\n]*\))?\s*)*"
     r"(?:(?:public|protected|private|static|final|abstract|synchronized|native|strictfp|default)\s+)*"
@@ -39,11 +40,26 @@ def section(c: Column | str) -> Column:
     return strip(F.regexp_extract(col(c), r"(?m)^\s*#{1,6}\s+(.+)$", 1))
 
 
-def chunk_documents(df: DataFrame, id_col: str, text_col: str, most: int = 1800, version: str = "1") -> DataFrame:
-    """(id, chunk_index, content, section, content_hash, chunk_id), one row per chunk."""
-    rows = df.select(F.col(id_col).alias("id"), F.posexplode(prose_chunks(text_col, most)).alias("chunk_index", "content"))
+def chunk_id(dataset: Column | str, split: Column | str, uri: Column | str, index: Column | str, version: Column | str, hash_: Column | str) -> Column:
+    """What names a chunk: its source, its place there, the version of the pipeline and its content."""
+    return joined_hash(dataset, split, uri, index, version, hash_)
+
+
+def chunk_documents(df: DataFrame, id_col: str, text_col: str, most: int = 1800, version: str = "1", dataset: Column | None = None, split: Column | None = None) -> DataFrame:
+    """(id, chunk_index, content, section, content_hash, chunk_id), one row per chunk; the id is the source's address."""
+    empty = F.lit("")
+    of = [F.col(id_col).alias("id"), (empty if dataset is None else dataset).alias("_d"), (empty if split is None else split).alias("_s")]
+    rows = df.select(*of, F.posexplode(prose_chunks(text_col, most)).alias("chunk_index", "content"))
+    rows = rows.withColumn("section", section("content")).withColumn("content_hash", content_hash("content"))
+    return rows.withColumn("chunk_id", chunk_id("_d", "_s", "id", "chunk_index", F.lit(version), "content_hash")).drop("_d", "_s")
+
+
+def whole_documents(df: DataFrame, id_col: str, text_col: str, version: str = "1", dataset: Column | None = None, split: Column | None = None) -> DataFrame:
+    """The same columns with one chunk for each document, its text as it is."""
+    empty = F.lit("")
+    rows = df.select(F.col(id_col).alias("id"), F.lit(0).alias("chunk_index"), F.col(text_col).alias("content"), (empty if dataset is None else dataset).alias("_d"), (empty if split is None else split).alias("_s"))
     rows = rows.withColumn("section", section("content")).withColumn("content_hash", content_hash("content"))
-    return rows.withColumn("chunk_id", F.sha2(F.concat_ws("|", F.col("id").cast("string"), F.col("chunk_index").cast("string"), F.lit(version), "content_hash"), 256))
+    return rows.withColumn("chunk_id", chunk_id("_d", "_s", "id", "chunk_index", F.lit(version), "content_hash")).drop("_d", "_s")
 
 
 def java_signature(c: Column | str) -> Column:

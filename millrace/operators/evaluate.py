@@ -88,12 +88,15 @@ def case_pivot(runs: DataFrame, modes: Sequence[str]) -> DataFrame:
 
 
 def interference(metrics: DataFrame, shared: str, special: Mapping[str, str], model: str = "model", value: str = "value", task: str = "task") -> DataFrame:
-    """(task, specialised, shared, difference, percent) of a shared model against each task's own; models must be there."""
+    """(task, specialised, shared, difference, percent) of a shared model against each task's own; a model without a value is an error."""
     rows = None
     for t, m in special.items():
         of = metrics.where(F.col(task) == t).agg(F.max(F.when(F.col(model) == m, F.col(value))).alias("specialised"), F.max(F.when(F.col(model) == shared, F.col(value))).alias("shared"))
         of = of.select(F.lit(t).alias("task"), "*")
         rows = of if rows is None else rows.unionAll(of)
+    for c, who in (("specialised", "its specialised model"), ("shared", f"the shared model {shared}")):
+        missing = F.raise_error(F.concat(F.lit("task "), F.col("task"), F.lit(f" has no value of {who}")))
+        rows = rows.withColumn(c, F.when(F.col(c).isNull(), missing).otherwise(F.col(c)))
     gap = F.col("shared") - F.col("specialised")
     return rows.withColumns({"difference": gap, "percent": F.when(F.col("specialised") != 0, 100 * gap / F.col("specialised"))})
 
@@ -113,6 +116,13 @@ def pair_similarity(modules: DataFrame, pairs: Sequence[tuple[str, str]], key: s
     return a.join(b, [key, "right"]).select("left", "right", key, vector.cosine("va", "vb").alias("cosine"), vector.l2("va", "vb").alias("l2"))
 
 
+def all_similarities(modules: DataFrame, key: str = "module_key", model: str = "model", vec: str = "vector") -> DataFrame:
+    """The same for all models that share a module, each two once, the lesser name on the left: joined by module on the cluster."""
+    a = modules.select(key, F.col(model).alias("left"), F.col(vec).alias("va"))
+    b = modules.select(key, F.col(model).alias("right"), F.col(vec).alias("vb"))
+    return a.join(b, key).where("left < right").select("left", "right", key, vector.cosine("va", "vb").alias("cosine"), vector.l2("va", "vb").alias("l2"))
+
+
 def similarity_levels(rows: DataFrame, *levels: str) -> DataFrame:
     """mean, median cosine and mean L2 per pair by each level and overall, in one pass of grouping sets."""
     sets = [["left", "right", x] for x in levels] + [["left", "right"]]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -42,12 +44,10 @@ def usable_page(c: Column | str, minimum: int = 20) -> Column:
 
 
 def specific_identity(**parts: Column) -> Column:
-    """An identity that names a method or case inside a repository, not just a data set."""
-    filled = {k: F.coalesce(strip(v), F.lit("")) != "" for k, v in parts.items()}
-    inner = [filled[k] for k in ("case_id", "method_name", "file_path") if k in filled]
-    outer = [filled[k] for k in ("repository", "commit") if k in filled]
-    any_ = lambda xs: xs[0] if len(xs) == 1 else xs[0] | any_(xs[1:]) if xs else F.lit(False)
-    return any_(inner) & any_(outer)
+    """An identity that names one case, file or method and not just a data set: a case id, or a repository with commit and
+    file path, or a repository with class and method. Parts that aren't given count as empty."""
+    has = lambda *ks: reduce(and_, [F.coalesce(parts[k].cast("string"), F.lit("")) != "" if k in parts else F.lit(False) for k in ks])
+    return has("case_id") | has("repository", "commit", "file_path") | has("repository", "class_name", "method_name")
 
 
 def metadata_predicate(wanted: Mapping[str, Any], allowed_splits: Sequence[str], split_col: str = "split") -> Column:

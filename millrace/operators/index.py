@@ -36,8 +36,23 @@ def dedup_counts(df: DataFrame, key: str, by: str | None = None) -> DataFrame:
     return out.withColumn("duplicates", F.col("received") - F.col("unique"))
 
 
+def sorted_ids_digest(df: DataFrame, id_col: str) -> str:
+    """SHA-256 of all ids, sorted and joined by line feeds. Sorted by the cluster and streamed through the driver partition by
+    partition, so it is for collections whose largest partition fits there; :func:`corpus_digest` is for any size."""
+    import hashlib
+
+    digest, first = hashlib.sha256(), True
+    for r in df.select(F.col(id_col).cast("string").alias("i")).orderBy("i").toLocalIterator():
+        digest.update((r[0] if first else "\n" + r[0]).encode())
+        first = False
+    return digest.hexdigest()
+
+
 def corpus_digest(df: DataFrame, id_col: str) -> str:
-    """A digest of the set of ids that doesn't depend on order: sums of two hashes and a count, combined by the cluster."""
+    """A digest of the set of ids that doesn't depend on order: sums of two hashes and a count, combined by the cluster.
+
+    Not the digest of :func:`sorted_ids_digest`, but one that nothing has to be sorted or moved for.
+    """
     d = df.select(F.col(id_col).cast("string").alias("i")).distinct()
     wide = lambda h: F.sum(h.cast("decimal(38,0)"))
     n, a, b = d.agg(F.count("*"), wide(F.xxhash64("i")), wide(F.xxhash64(F.lit("salt"), "i"))).first()

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from millrace.operators.filters import ContractError
 
+#: N-grams of a benchmark that are broadcast; more are joined by a shuffle.
+FEW = 500_000
+
 
 def keys(df: DataFrame, id_col: str, kinds: Mapping[str, Column]) -> DataFrame:
     """(id, kind, key), a row for each key that isn't null or empty."""
@@ -27,6 +30,24 @@ def overlaps(indexed: DataFrame, benchmark: DataFrame) -> DataFrame:
     return pairs.agg(F.array_sort(F.collect_set("kind")).alias("matched_by"))
 
 
+def classes(found: DataFrame) -> DataFrame:
+    """(rep, n, id, kind, key): rows with the very same keys are one class, named by its smallest id; a row for each class and key."""
+    own = found.groupBy("id").agg(F.sha2(F.to_json(F.array_sort(F.collect_set(F.struct("kind", "key")))), 256).alias("all"))
+    named = own.groupBy("all").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    return found.join(named, "id").select("id", "n", "kind", "key")
+
+
+def class_overlaps(indexed: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(indexed_id, benchmark_id, matched_by, indexed_rows, benchmark_rows) for classes of rows with the same keys that share any.
+
+    Both sides as :func:`keys` gives them. A text that a third of all rows share is one class, not a pair for each two rows.
+    """
+    a = classes(indexed).toDF("indexed_id", "indexed_rows", "kind", "key")
+    b = classes(benchmark).toDF("benchmark_id", "benchmark_rows", "kind", "key")
+    both = a.join(b, ["kind", "key"]).groupBy("indexed_id", "benchmark_id", "indexed_rows", "benchmark_rows")
+    return both.agg(F.array_sort(F.collect_set("kind")).alias("matched_by"))
+
+
 def touched(indexed: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Ids of indexed rows that share any key: a semi-join, so a hot key makes no pairs."""
     return indexed.join(benchmark.select("kind", "key").distinct(), ["kind", "key"], "left_semi").select("id").distinct()
@@ -78,6 +99,8 @@ def passage_overlaps(docs: DataFrame, benchmark: DataFrame, n: int = 8, id_col:
     Only the benchmark's n-grams are compared, as hashes first and then as text.
     """
     b = benchmark.select(F.col(item_col), F.explode(shingles(F.col("text"), n)).alias("gram")).withColumn("h", F.xxhash64("gram"))
+    if b.limit(FEW + 1).count() <= FEW:
+        b = F.broadcast(b)  # then no n-gram of a document is shuffled
     d = docs.select(F.col(id_col), F.explode(shingles(F.col("text"), n)).alias("g2")).withColumn("h", F.xxhash64("g2"))
     return d.join(b, "h").where("g2 = gram").groupBy(id_col, item_col).agg(F.count("*").alias("shared"))
 

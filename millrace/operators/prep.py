@@ -22,13 +22,13 @@ REFACTORINGS = [
 ]
 
 
-def instruction_records(df: DataFrame, domain: str, instruction: str) -> DataFrame:
-    """instruction, input, output, domain from the first filled candidate columns; rows without both sides are dropped."""
+def instruction_records(df: DataFrame, domain: str, instruction: str, keep: Sequence[str] = ()) -> DataFrame:
+    """instruction, input, output, domain (after the columns to ``keep``) from the first filled candidate columns; rows without both sides are dropped."""
     sides = []
     for names in FIELDS[domain]:
         have = [normalize_text(F.col(n).cast("string")) for n in names if n in df.columns]
         sides.append(first_filled(*have) if have else F.lit(""))
-    out = df.select(F.lit(instruction).alias("instruction"), sides[0].alias("input"), sides[1].alias("output"), F.lit(domain).alias("domain"))
+    out = df.select(*keep, F.lit(instruction).alias("instruction"), sides[0].alias("input"), sides[1].alias("output"), F.lit(domain).alias("domain"))
     return out.where("input != '' AND output != ''")
 
 
