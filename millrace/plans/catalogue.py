@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import code, text, vector
-from millrace.operators import chunk, evaluate, filters, index, leakage, matrix, prep, retrieve
+from millrace.functions import code, identity, text, vector
+from millrace.operators import chunk, evaluate, filters, index, knowledge, leakage, matrix, prep, prompt, records, retrieve
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,8 +86,7 @@ def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
 FROM documents WHERE {norm('text')} <> '' AND lang <> ''""")
 def instruction_records(spark: SparkSession, d: str) -> DataFrame:
     t = read(spark, d, "documents").select("doc_id", F.lit(None).cast("string").alias("focal_method"), F.col("text").alias("code"), F.col("lang").alias("test_code"))
-    pick = [text.first_filled(text.normalize_text("focal_method"), text.normalize_text("code")), text.normalize_text("test_code")]
-    return t.select("doc_id", pick[0].alias("input"), pick[1].alias("output"), F.lit("testing").alias("domain")).where("input <> '' AND output <> ''")
+    return prep.instruction_records(t, "testing", "Write a test.", ["doc_id"]).drop("instruction")
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) > 500 THEN rtrim(substring(text, 1, 497)) || '...' ELSE text END AS preview,
@@ -152,31 +151,36 @@ def _shown(df: DataFrame, *by: str) -> DataFrame:
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     """Every vector whose id is divisible by 20 is a query, against all rows."""
     q, docs = _vectors(spark, d)
-    return _shown(retrieve.top_k(q, docs, 5, most_queries=1_000_000))
+    return _shown(retrieve.top_k(q, docs, 5))
 
 
 @query(_TOP.format(extra="", by="", score=_COS, where="WHERE label IN (1, 3, 5)", part="", order="DESC", by_out=""))
 def metadata_filter_topk(spark: SparkSession, d: str) -> DataFrame:
     q, docs = _vectors(spark, d)
-    return _shown(retrieve.top_k(q, docs.where(F.col("label").isin(1, 3, 5)), 5, most_queries=1_000_000))
+    return _shown(retrieve.top_k(q, docs.where(F.col("label").isin(1, 3, 5)), 5))
 
 
 @query(_TOP.format(extra="", by="", score=_L2, where="", part="", order="ASC", by_out=""))
 def l2_topk(spark: SparkSession, d: str) -> DataFrame:
     q, docs = _vectors(spark, d)
-    return _shown(retrieve.top_k(q, docs, 5, score="l2", most_queries=1_000_000))
+    return _shown(retrieve.top_k(q, docs, 5, score="l2"))
 
 
 @query(_TOP.format(extra="", by="label, ", score=_COS, where="", part=", label", order="DESC", by_out="label, "))
 def collection_topk(spark: SparkSession, d: str) -> DataFrame:
     q, docs = _vectors(spark, d)
-    return _shown(retrieve.top_k(q, docs, 5, by=["label"], most_queries=1_000_000), "label")
+    return _shown(retrieve.top_k(q, docs, 5, by=["label"]), "label")
 
 
-@query("SELECT vec_id, label, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, len(embedding)::BIGINT AS dim, true AS valid FROM embeddings")
+@query("""SELECT vec_id, label, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, len(embedding)::BIGINT AS dim,
+  len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AS valid,
+  len(embedding) = 64 AND len([x FOR x IN [CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 5 = 0 THEN 'nan'::FLOAT WHEN vec_id % 3 = 0 THEN 'inf'::FLOAT ELSE 1 END] IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AS valid_spoiled FROM embeddings""")
 def vector_norms(spark: SparkSession, d: str) -> DataFrame:
+    """Norms, and whether vectors are whole, also with a component replaced by null, NaN or infinity in some of them."""
     e = read(spark, d, "embeddings")
-    return e.select("vec_id", "label", F.round(vector.norm("embedding"), 6).alias("norm"), F.size("embedding").cast("long").alias("dim"), vector.valid("embedding").alias("valid"))
+    bad = F.when(F.col("vec_id") % 7 == 0, F.lit(None)).when(F.col("vec_id") % 5 == 0, F.lit(float("nan"))).when(F.col("vec_id") % 3 == 0, F.lit(float("inf"))).otherwise(1.0).cast("float")
+    spoiled = F.concat(F.slice("embedding", 1, 63), F.array(bad))
+    return e.select("vec_id", "label", F.round(vector.norm("embedding"), 6).alias("norm"), F.size("embedding").cast("long").alias("dim"), vector.valid("embedding", 64).alias("valid"), vector.valid(spoiled, 64).alias("valid_spoiled"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z_][A-Za-z0-9_]*|[0-9]+')) AS tok FROM documents),
@@ -197,7 +201,7 @@ SELECT query_id, document_id, rrf_score, final_rank::BIGINT AS final_rank FROM o
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     q, docs = _vectors(spark, d)
-    return retrieve.fuse_disjoint(retrieve.top_k(q, docs, 5, by=["label"], most_queries=1_000_000).withColumnRenamed("label", "collection")).where("final_rank <= 10")
+    return retrieve.fuse_disjoint(retrieve.top_k(q, docs, 5, by=["label"]).withColumnRenamed("label", "collection")).where("final_rank <= 10")
 
 
 @query(_FUSED)
@@ -210,7 +214,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Fusion with transitive de-duplication: copies of a text in several collections are one item."""
     q, docs = _vectors(spark, d)
     texts = read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
-    hits = retrieve.top_k(q, docs, 5, by=["label"], most_queries=1_000_000).withColumn("collection", F.col("label").cast("string")).join(texts, "document_id")
+    hits = retrieve.top_k(q, docs, 5, by=["label"]).withColumn("collection", F.col("label").cast("string")).join(texts, "document_id")
     out = retrieve.fuse(hits).select("query_id", "document_id", F.round("rrf_score", 9).alias("rrf_score"), F.col("final_rank").cast("long").alias("final_rank"))
     return out.where("final_rank <= 10")
 
@@ -286,14 +290,15 @@ def _kinds() -> dict[str, Column]:
     return {"full_text": text.content_identity("text"), "folded": F.sha2(F.lower(text.normalize_text("text")), 256)}
 
 
-@query(f"""WITH k AS (SELECT doc_id, unnest([{{'kind': 'full_text', 'key': sha256({norm('text')})}}, {{'kind': 'folded', 'key': sha256(lower({norm('text')}))}}]) AS p FROM documents)
-SELECT a.doc_id AS indexed_id, b.doc_id AS benchmark_id, string_agg(a.p.kind, ',' ORDER BY a.p.kind) AS matched_by
-FROM k a JOIN k b ON a.p = b.p AND a.doc_id % 10 <> 0 AND b.doc_id % 10 = 0 GROUP BY 1, 2""")
+@query(f"""WITH k AS (SELECT doc_id, doc_id % 10 = 0 AS reserved, sha256({norm('text')}) AS full_text, sha256(lower({norm('text')})) AS folded FROM documents),
+c AS (SELECT reserved, full_text, folded, min(doc_id) AS id, count(*) AS n FROM k GROUP BY ALL)
+SELECT a.id AS indexed_id, b.id AS benchmark_id, CASE WHEN a.full_text = b.full_text THEN 'folded,full_text' ELSE 'folded' END AS matched_by, a.n AS indexed_rows, b.n AS benchmark_rows
+FROM c a JOIN c b ON NOT a.reserved AND b.reserved AND a.folded = b.folded""")
 def multi_key_leakage(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth document plays the reserved benchmark; which others share a key with it, and which keys."""
+    """Every tenth document plays the reserved benchmark; which classes of equal rows share a key, which keys, and their sizes."""
     t = read(spark, d, "documents")
     a, b = leakage.keys(t.where("doc_id % 10 <> 0"), "doc_id", _kinds()), leakage.keys(t.where("doc_id % 10 = 0"), "doc_id", _kinds())
-    return leakage.overlaps(a, b).select("indexed_id", "benchmark_id", F.array_join("matched_by", ",").alias("matched_by"))
+    return leakage.class_overlaps(a, b).withColumn("matched_by", F.array_join("matched_by", ","))
 
 
 @query(f"""WITH b AS (SELECT * FROM documents WHERE doc_id % 10 = 0) SELECT doc_id FROM documents WHERE doc_id % 10 <> 0
@@ -387,7 +392,7 @@ def split_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MODULES = f"""WITH o AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS key, embedding::DOUBLE[] AS embedding FROM embeddings),
-p AS (SELECT a.label AS l, b.label AS r, a.key, a.embedding, b.embedding AS qe FROM o a JOIN o b ON a.key = b.key AND a.label < b.label),
+p AS (SELECT a.label AS l, b.label AS r, a.key, a.embedding, b.embedding AS qe FROM o a JOIN o b ON a.key = b.key AND a.label::VARCHAR < b.label::VARCHAR),
 c AS (SELECT l, r, key, {_COS} AS cosine, {_L2} AS l2 FROM p)"""
 
 
@@ -397,9 +402,7 @@ def pairwise_similarity_by_group(spark: SparkSession, d: str) -> DataFrame:
     """Labels play the models, places within a label the modules, places modulo 5 the layers."""
     e = prep.ranks(read(spark, d, "embeddings"), ["vec_id"], "module_key", by=["label"])
     one = e.select(F.col("label").cast("string").alias("model"), "module_key", F.col("embedding").alias("vector"))
-    labels = [str(r[0]) for r in e.select("label").distinct().orderBy("label").limit(1000).collect()]  # the models of a study are few
-    pairs = [(a, b) for k, a in enumerate(labels) for b in labels[k + 1 :]]
-    rows = evaluate.pair_similarity(one, pairs).withColumn("layer", F.col("module_key") % 5)
+    rows = evaluate.all_similarities(one).withColumn("layer", F.col("module_key") % 5)
     r = evaluate.similarity_levels(rows, "layer")
     return r.select("left", "right", "layer", "n", *[F.round(c, 6).alias(c) for c in ("mean_cosine", "median_cosine", "mean_l2")])
 
@@ -499,16 +502,21 @@ def prose_chunks(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("id").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.length("content").cast("long").alias("chars"), "content_hash", "chunk_id")
 
 
-@query("""WITH l AS (SELECT source, regexp_replace(lower(trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g'))), '[0-9]+', '#', 'g') AS key FROM documents WHERE trim(text) <> ''),
-t AS (SELECT source, count(*) AS pages FROM l GROUP BY source) SELECT source, key, count(*) AS n FROM l JOIN t USING (source) GROUP BY source, key, pages HAVING count(*) >= greatest(2, ceil(pages * 0.02)) AND key <> ''""")
-def repeated_headers(spark: SparkSession, d: str) -> DataFrame:
-    """First lines that at least 2 % of a source's documents share (sources play documents, documents pages)."""
-    r = chunk.repeated_boundaries(read(spark, d, "documents"), "source", "text", 0.02)
-    return r.where("place = 'header'").select("source", "key", "n")
+@query(f"""WITH t AS (SELECT source, [x FOR x IN [{strip('y')} FOR y IN regexp_split_to_array(text, '\\r\\n|[\\n\\x0B\\f\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]')] IF x <> ''] AS ls FROM documents),
+e AS (SELECT source, unnest([{{'place': 'header', 'line': ls[1]}}, {{'place': 'footer', 'line': ls[-1]}}]) AS x FROM t WHERE len(ls) > 0),
+k AS (SELECT source, x.place AS place, regexp_replace({norm('lower(x.line)')}, '[0-9]+', '#', 'g') AS key FROM e),
+n AS (SELECT source, place, count(*) AS pages FROM k GROUP BY ALL)
+SELECT source, place, key, count(*) AS n FROM k JOIN n USING (source, place) WHERE pages >= 2 GROUP BY source, place, key, pages HAVING count(*) >= greatest(2, ceil(pages * 0.02)) AND key <> ''""")
+def repeated_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    """First and last lines that at least 2 % of a source's documents share (sources play documents, documents pages)."""
+    return chunk.repeated_boundaries(read(spark, d, "documents"), "source", "text", 0.02).select("source", "place", "key", "n")
 
 
-@query(r"""SELECT page_id, len(regexp_extract_all(html, '\{'))::BIGINT AS opens, length(html) AS chars, len(string_split(html, chr(10)))::BIGINT AS lines,
- len(regexp_extract_all(html, '&&|\|\|'))::BIGINT AS logical, len(regexp_extract_all(html, '\bif\s*\('))::BIGINT AS ifs, CASE WHEN html LIKE '%{%' THEN 1 ELSE 0 END::BIGINT AS depth FROM pages""")
+@query(r"""WITH m AS (SELECT page_id, regexp_extract_all(html, '[{}]') AS ms FROM pages), x AS (SELECT page_id, unnest(ms) AS c, generate_subscripts(ms, 1) AS k FROM m),
+s AS (SELECT page_id, k, sum(CASE c WHEN '{' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY k) AS s FROM x),
+f AS (SELECT page_id, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY k)) AS depth FROM s), g AS (SELECT page_id, max(depth)::BIGINT AS depth FROM f GROUP BY page_id)
+SELECT page_id, len(regexp_extract_all(html, '\{'))::BIGINT AS opens, length(html) AS chars, len(string_split(html, chr(10)))::BIGINT AS lines,
+ len(regexp_extract_all(html, '&&|\|\|'))::BIGINT AS logical, len(regexp_extract_all(html, '\bif\s*\('))::BIGINT AS ifs, coalesce(g.depth, 0) AS depth FROM pages LEFT JOIN g USING (page_id)""")
 def code_counts(spark: SparkSession, d: str) -> DataFrame:
     m = code.code_metrics("html")
     return read(spark, d, "pages").select(
@@ -543,6 +551,106 @@ def signatures(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.regexp_extract("text", code.SIGNATURE, 2).alias("method_name"))
 
 
+@query()
+def java_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """The first method of every page, by its head."""
+    return read(spark, d, "pages").select("page_id", chunk.java_signature("html").alias("s")).select("page_id", "s.return_type", "s.method_name", F.array_join("s.parameter_types", ",").alias("parameter_types"), "s.class_name", "s.start_line")
+
+
+@query("""SELECT page_id, sha256('' || '|' || '' || '|' || coalesce(url, '') || '|0|rag-v2|' || sha256(regexp_replace(regexp_replace(replace(html, chr(13) || chr(10), chr(10)), '(?m)[ \\t]+$', '', 'g'), '^\\s+|\\s+$', '', 'g'))) AS document_id,
+  length(html) AS chars, 'whole_document_fallback' AS chunk_type FROM pages WHERE html NOT LIKE '%{%'""")
+def java_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Java-aware chunks of pages without braces: each is one whole document."""
+    t = read(spark, d, "pages").where("NOT contains(html, '{')").select("page_id", F.lit("").alias("dataset"), F.lit("").alias("split"), F.col("url").alias("source_uri"), F.col("html").alias("content"))
+    return knowledge.java_chunks(t).select("page_id", "document_id", F.length("content").cast("long").alias("chars"), "chunk_type")
+
+
+@query("""SELECT doc_id, source <> '' OR FALSE AS by_case, (lang <> '' AND source <> '' AND doc_id % 2 = 0) AS by_file, (lang <> '' AND source <> '' AND doc_id % 3 = 0) AS by_method FROM documents""")
+def specific_identities(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an identity names one case, one file of a commit or one method of a class, or only a data set."""
+    some = lambda k: F.when(F.col("doc_id") % k == 0, F.lit("x"))
+    return read(spark, d, "documents").select(
+        "doc_id", filters.specific_identity(case_id=F.col("source")).alias("by_case"),
+        filters.specific_identity(repository=F.col("lang"), commit=F.col("source"), file_path=some(2)).alias("by_file"),
+        filters.specific_identity(repository=F.col("lang"), class_name=F.col("source"), method_name=some(3)).alias("by_method"),
+    )
+
+
+def _prompt_sql(evidence: str) -> str:
+    t = prompt.template("testing").replace("'", "''")
+    parts = {"requirements": strip("lang"), "source": strip("text"), "project": f"coalesce(nullif({strip('source')}, ''), 'None.')", "evidence": evidence}
+    out = f"'{t}'"
+    for k, marker in prompt.MARKERS.items():
+        out = f"replace({out}, '{marker}', {parts[k]})"
+    return out
+
+
+@query(f"""SELECT doc_id, sha256({_prompt_sql("'None.'")}) AS full_prompt_sha256, sha256({_prompt_sql(f"'{prompt.PLACEHOLDER}'")}) AS normalized_prompt_sha256,
+  sha256('{prompt.template('testing').replace("'", "''")}') AS prompt_template_sha256 FROM documents""")
+def prompt_hashes(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "documents").select("doc_id", F.lit("testing").alias("task"), F.col("lang").alias("instruction"), F.col("text").alias("input"), F.col("source").alias("project_context"))
+    return prompt.build(t, "direct").select("doc_id", "full_prompt_sha256", "normalized_prompt_sha256", "prompt_template_sha256")
+
+
+@query(f"""SELECT doc_id, true AS passed, sha256({_prompt_sql(f"'{prompt.PLACEHOLDER}'")}) AS normalized_prompt_sha256 FROM documents""")
+def prompt_fairness(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "documents").select("doc_id", F.lit("testing").alias("task"), F.col("lang").alias("instruction"), F.col("text").alias("input"), F.col("source").alias("project_context"))
+    return prompt.audit(t, "doc_id").select("doc_id", "passed", "normalized_prompt_sha256")
+
+
+@query(f"""SELECT conv_id, turn, sha256('original|' || {strip('text')}) AS code_id,
+  'handmade|' || conv_id || '|||a/b.java||' || lower({strip('role')}) AS canonical FROM conversations""")
+def sample_identities(spark: SparkSession, d: str) -> DataFrame:
+    of = identity.identity(dataset=F.lit("Handmade"), case_id="conv_id", file_path=F.lit("a\\B.java"), method_name="role")
+    return read(spark, d, "conversations").select("conv_id", "turn", identity.code_id("original", "text").alias("code_id"), identity.canonical(of).alias("canonical"))
+
+
+@query()
+def knowledge_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring turns as records of the two domains: document, pair and code ids, and the chunk of each in its collection."""
+    p = _pairs(spark, d).where(f"{_filled('reference')} AND {_filled('prediction')}")
+    r = p.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), F.when(F.col("conv_id") % 2 == 0, "testing").otherwise("refactoring").alias("domain"), F.col("reference").alias("input"), F.col("prediction").alias("output"))
+    docs = knowledge.documents(r, "turns", "turns.jsonl")
+    c = knowledge.corpora(docs.where("task = 'refactoring'"), docs.where("task = 'testing'"))
+    return c.select("knowledge_id", "document_id", "collection", "content_hash", "chunk_type", F.sha2("embedding_text", 256).alias("embedding_text_sha256"))
+
+
+def _filled(c: str) -> str:
+    return f"trim({c}) <> ''"
+
+
+@query(_RUNS + """, l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY attempt DESC, ordinal DESC) = 1) SELECT status, count(*) AS n FROM l GROUP BY status""")
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return records.status_counts(matrix.latest(_runs(spark, d)))
+
+
+@query("""SELECT doc_id, source, lang FROM documents ORDER BY length(text) + length(source) DESC, doc_id LIMIT 1""")
+def longest_example(spark: SparkSession, d: str) -> DataFrame:
+    return records.longest_example(read(spark, d, "documents").select("doc_id", "text", "source", "lang"), "text", "source", "doc_id").select("doc_id", "source", "lang")
+
+
+@query("""WITH l AS (SELECT user_id, event_id AS step, CASE WHEN event_type = 'view' THEN value END AS eval_loss, CASE WHEN event_type <> 'view' THEN value END AS loss FROM events)
+SELECT user_id, round(min(eval_loss), 6) AS best_eval_loss, round(arg_max(eval_loss, step) FILTER (eval_loss IS NOT NULL), 6) AS last_eval_loss, round(arg_max(loss, step) FILTER (loss IS NOT NULL), 6) AS last_train_loss FROM l GROUP BY user_id""")
+def training_losses(spark: SparkSession, d: str) -> DataFrame:
+    view = F.col("event_type") == "view"
+    log = read(spark, d, "events").select("user_id", F.col("event_id").alias("step"), F.when(view, F.col("value")).alias("eval_loss"), F.when(~view, F.col("value")).alias("loss"))
+    out = records.losses(log, "step", ["user_id"])
+    return out.select("user_id", *[F.round(c, 6).alias(c) for c in ("best_eval_loss", "last_eval_loss", "last_train_loss")])
+
+
+@query(f"""WITH f AS ({_FUSED}), u AS (SELECT query_id, document_id FROM f WHERE final_rank <= 3)
+SELECT f.query_id, f.document_id, u.document_id IS NOT NULL AS used_in_prompt FROM f LEFT JOIN u USING (query_id, document_id)""")
+def used_in_prompt(spark: SparkSession, d: str) -> DataFrame:
+    hits = _fused(spark, d)
+    return records.used_in_prompt(hits, hits.where("final_rank <= 3")).select("query_id", "document_id", "used_in_prompt")
+
+
+@query("""SELECT 'm:testing:' || doc_id AS id, 'm' AS model_name, 'testing' AS task, text AS input, lang AS expected_output, source AS prediction FROM documents""".replace("text AS input", "CASE WHEN trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) = '' THEN '' ELSE text END AS input"))
+def prediction_records(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"), F.col("lang").alias("output"), F.col("source").alias("generated_output"))
+    return records.predictions(t, "testing", "m", "doc_id").select("id", "model_name", "task", "input", "expected_output", "prediction")
+
+
 @query("""SELECT n_name, o_orderstatus, count(*) AS orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey
 JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON n_nationkey = c_nationkey WHERE l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY 1, 2""")
 def star_revenue(spark: SparkSession, d: str) -> DataFrame:
