@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import drop, look_up, read, table
 from millrace.llm.graph import components, local_stars
 
-BLOCK, STEP, AXES = 1024, 16, 2
+BLOCK, STEP, AXES = 4096, 16, 2
+#: Products that a step of a tile holds.
+AT_ONCE = 1 << 19
 SLACK = 1e-9
 #: Components of a vector at most: the driver holds a square matrix of that side for each size.
 WIDEST = 4096
@@ -66,35 +68,37 @@ def axes(m: np.ndarray) -> np.ndarray:
 
 
 def linked(a: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of ``a`` and ``b`` with cosine >= threshold (i < j where the two are the same tile side)."""
+    """Index pairs of rows of ``a`` and ``b`` with cosine >= threshold (i < j where the two are the same tile side).
+
+    Rows of ``a`` are taken some at a time, so that no step holds more than ``AT_ONCE`` products.
+    """
     ua, ub = unit(a), unit(b)
     ra, rb = ua @ basis, ub @ basis
-    d = ra.shape[1]
-    k = min(STEP, d)
-    rest = lambda r, k: np.sqrt(np.maximum((r[:, k:] ** 2).sum(axis=1), 0))
-    i, j = np.nonzero(ra[:, :k] @ rb[:, :k].T + np.outer(rest(ra, k), rest(rb, k)) >= threshold - SLACK)
-    if same:
-        i, j = i[i < j], j[i < j]
-    dot = np.einsum("ij,ij->i", ra[i, :k], rb[j, :k]) if len(i) <= 1 << 18 else np.concatenate([np.einsum("ij,ij->i", ra[i[s : s + (1 << 18)], :k], rb[j[s : s + (1 << 18)], :k]) for s in range(0, len(i), 1 << 18)])
-    while k < d and len(i):
-        n = min(k + STEP, d)
-        sa, sb = rest(ra, n), rest(rb, n)
-        keep = np.empty(len(i), bool)
-        for s in range(0, len(i), 1 << 18):
-            x, y = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
-            dot[s : s + (1 << 18)] += np.einsum("ij,ij->i", ra[x, k:n], rb[y, k:n])
-            keep[s : s + (1 << 18)] = dot[s : s + (1 << 18)] + sa[x] * sb[y] >= threshold - SLACK
-        i, j, dot, k = i[keep], j[keep], dot[keep], n
-    out = np.empty(len(i), bool)
     na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
-    for s in range(0, len(i), 1 << 18):
-        x, y = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
+    steps = [*range(min(STEP, ra.shape[1]), ra.shape[1], STEP), ra.shape[1]]
+    # what the dimensions from each step on can still add: at most the product of the two suffix norms
+    rest_a, rest_b = ({k: np.sqrt(np.maximum((r[:, k:] ** 2).sum(axis=1), 0)) for k in steps} for r in (ra, rb))
+    out_i, out_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    rows = max(1, AT_ONCE // max(len(b), 1))
+    for at in range(0, len(a), rows):
+        part, k = slice(at, at + rows), steps[0]
+        lead = ra[part, :k] @ rb[:, :k].T
+        i, j = np.nonzero(lead + np.outer(rest_a[k][part], rest_b[k]) >= threshold - SLACK)
+        dot, i = lead[i, j], i + at
+        if same:
+            below = i < j
+            i, j, dot = i[below], j[below], dot[below]
+        for n in steps[1:]:
+            dot += np.einsum("ij,ij->i", ra[i, k:n], rb[j, k:n])
+            keep = dot + rest_a[n][i] * rest_b[n][j] >= threshold - SLACK
+            i, j, dot, k = i[keep], j[keep], dot[keep], n
         with np.errstate(over="ignore", invalid="ignore", under="ignore"):
-            cos = np.einsum("ij,ij->i", a[x], b[y]) / (na[x] * nb[y])
+            cos = np.einsum("ij,ij->i", a[i], b[j]) / (na[i] * nb[j])
         odd = ~np.isfinite(cos)
-        cos[odd] = np.einsum("ij,ij->i", ua[x[odd]], ub[y[odd]])
-        out[s : s + (1 << 18)] = cos >= threshold
-    return i[out], j[out]
+        cos[odd] = np.einsum("ij,ij->i", ua[i[odd]], ub[j[odd]])
+        out_i.append(i[cos >= threshold])
+        out_j.append(j[cos >= threshold])
+    return np.concatenate(out_i), np.concatenate(out_j)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:

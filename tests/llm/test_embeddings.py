@@ -42,3 +42,24 @@ def test_copies_are_links(spark):
     got = embeddings.near_duplicates(df).collect()
     assert all(r.n_links == 49 and r.component_id == 0 and r.kept == (r.id == 0) for r in got)
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    from millrace.llm import embeddings
+
+    v = [1.0, 0.0, 0.1]
+    rows = [(1, v, 0), (1, v, 0), (2, [1.0, 0.01, 0.1], 0), (None, v, 0), (None, None, None), (3, [0.0, 1.0, 0.0], 0), (3, v, 0), (2**60 + 1, v, 0), (5, v, None), (6, [-0.0, 0.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS key", "2 AS n", "3 AS rep")
+    got = sorted(map(tuple, embeddings.near_duplicates(df).collect()), key=repr)
+    # the vectors that link: v under 1, 3 and the large id, and its neighbour under 2
+    want = [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 0, None, False), (None, 0, None, False), (3, 0, 3, True), (3, 3, 1, False), (2**60 + 1, 3, 1, False), (5, 0, 5, True), (6, 0, 6, True)]
+    assert got == sorted(want, key=repr)
+
+
+def test_wide_vectors_are_refused(spark, monkeypatch):
+    from millrace.llm import embeddings
+
+    df = spark.createDataFrame([(1, [1.0] * 8, 0)], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(embeddings, "WIDEST", 4)
+    with pytest.raises(Exception, match="more than"):
+        embeddings.near_duplicates(df).collect()
