@@ -377,7 +377,8 @@ def exact(src: DataFrame, grouped: DataFrame, shingle: int, similarity: float) -
 
     ``src``: (_id, _text). ``grouped``: (digest, rep, component), the classes that have a candidate. Each class is
     compared with its group's first class; those not similar to it are compared with every other class of the group, in
-    blocks of about ``EXACT`` of them, so that a large group of near-copies costs one comparison for each.
+    blocks of about ``EXACT`` of them against blocks of about ``BLOCK`` others, so that a large group of near-copies costs one
+    comparison for each and no task gets an unbounded group.
     """
 
     def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -389,18 +390,20 @@ def exact(src: DataFrame, grouped: DataFrame, shingle: int, similarity: float) -
     texts = src.join(grouped, F.col("_id") == F.col("rep")).select("component", "rep", "digest", "_text")
     loaded = table(texts.mapInPandas(load, "component long, rep long, digest binary, hashes array<long>").dropDuplicates(["component", "rep", "digest"]), "shingles")
     first = loaded.where("rep = component").groupBy("component").agg(F.min(F.struct("digest", "hashes")).alias("f"))
-    both = loaded.join(first, "component").where("digest != f.digest")
+    both = look_up(loaded, "component", first, "digest", "inner").where("digest != f.digest")
     shared = F.size(F.array_intersect("hashes", "f.hashes"))
     alike = (shared > 0) & (shared >= F.lit(similarity) * (F.size("hashes") + F.size("f.hashes") - shared))
     judged = table(both.select("component", "rep", "digest", alike.alias("alike")), "judged")
     direct = judged.where("alike").select(F.col("rep").alias("a"), F.col("component").alias("b"))
 
     sizes = judged.groupBy("component").agg(F.count("*").alias("n"), F.sum((~F.col("alike")).cast("int")).alias("open"))
-    sizes = sizes.where("n > 1 AND open > 0").select("component", F.ceil(F.col("open") / EXACT).cast("int").alias("blocks"))
-    left = judged.join(sizes, "component").withColumn("of", F.when(~F.col("alike"), F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")))
-    left = left.join(loaded.select("component", "rep", "digest", "hashes"), ["component", "rep", "digest"])
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("component", "block", "rep", "hashes", F.coalesce(F.col("of") == F.col("block"), F.lit(False)).alias("owner"))
+    sizes = sizes.where("n > 1 AND open > 0").select("component", F.ceil(F.col("open") / EXACT).cast("int").alias("blocks"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    left = look_up(judged, "component", sizes, "digest", "inner").join(loaded.select("component", "rep", "digest", "hashes"), ["component", "rep", "digest"])
+    deal = lambda c: F.pmod(F.xxhash64("digest"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    owners = left.where("NOT alike").select("component", deal("blocks").alias("block"), every("parts").alias("part"), "rep", "hashes", F.lit(True).alias("owner"))
+    others = left.select("component", every("blocks").alias("block"), deal("parts").alias("part"), "rep", "hashes", F.lit(False).alias("owner"))
+    left = owners.union(others)
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
         sets = [np.asarray(h, np.int64) for h in p["hashes"]]
@@ -418,7 +421,7 @@ def exact(src: DataFrame, grouped: DataFrame, shingle: int, similarity: float) -
             mark[mine] = False
             common = total[start[1:]] - total[start[:-1]]
             near = np.flatnonzero((common > 0) & (common >= similarity * (size + size[o] - common)))
-            near = near[near != o]
+            near = near[rep[near] != rep[o]]
             i.append(np.full(len(near), o))
             j.append(near)
         by = np.argsort(rep, kind="stable")
@@ -428,7 +431,7 @@ def exact(src: DataFrame, grouped: DataFrame, shingle: int, similarity: float) -
         moved = root != rep
         return pd.DataFrame({"a": rep[moved], "b": root[moved]})
 
-    out = table(direct.union(left.groupBy("component", "block").applyInPandas(compare, "a long, b long")), "similar")
+    out = table(direct.union(left.groupBy("component", "block", "part").applyInPandas(compare, "a long, b long")), "similar")
     drop(loaded, judged)
     return out
 

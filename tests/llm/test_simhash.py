@@ -148,3 +148,11 @@ def test_recall_counts_both_steps():
         budget, tries = simhash.plan(0.8, 0.985, depth)
         off = simhash.differing(0.8)
         assert simhash.within(budget, off) * (1 - (1 - (1 - off) ** depth) ** tries) >= 0.985
+
+
+def test_large_ids_beside_nulls(odd_docs):
+    from millrace.llm import simhash
+
+    assert {2**60 + 1, None} <= {r.id for r in simhash.fingerprints(odd_docs).collect()}
+    kept = simhash.keep_one(odd_docs)
+    assert kept.columns == odd_docs.columns and kept.where("gone = 1").count() == kept.count()
