@@ -77,3 +77,23 @@ def test_pieces_against_brute_force(odd_docs):
 
 def test_nothing_to_pack(no_docs):
     assert packing.pack(no_docs).count() == 0
+
+
+def test_added_tokens_and_marks_are_encoded_as_the_tokenizer_does():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    code, tok, rng = packing.Coder(path), Tokenizer.from_file(path), random.Random(8)
+    assert code.by_word
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "T̈", "H̱", "á", "́", "\x01", "it's.", "IT'S", "x.", ".,", "Ä", "ß", " ", "\n", "　", "é", "7x", "İ", "K"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(5000)]
+    want = [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+    got = code(texts)
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+def test_large_ids_beside_nulls(odd_docs):
+    got = {r.id for r in packing.pieces(odd_docs).collect()}
+    assert 2**60 + 1 in got and None in got

@@ -89,3 +89,34 @@ def test_names_of_several_segments(docs_of, forest):
     assert got == {k: f"set {x}[SECRET] end" for k, x in enumerate(names)}
     other = docs_of([(1, "author=Wolfeschlegelstein tokenizer: abcdefghijkl AUTHORS=abcdefghijkl")])
     assert secrets.scan(other, forest).count() == 0
+
+
+def test_every_place_of_a_value_counts(spark, docs_of):
+    import hashlib
+
+    from millrace.llm import secrets
+
+    value = hashlib.sha256(b"some").hexdigest()[:40]
+    texts = [(1, f"see commit {value} of it"), (2, f"see commit {value} of it, and bearer {value} too"), (3, f"token={value} and x{value}y and ({value})")]
+    got = {}
+    for r in secrets.scan(docs_of(texts)).collect():
+        got[r.id, r.value] = got.get((r.id, r.value), False) or r.is_secret
+    assert got[2, value] >= got[1, value] and got[3, value]
+    red = {r.doc_id: r.text for r in secrets.redact(docs_of(texts)).collect()}
+    assert red[3] == f"token=[SECRET] and x{value}y and ([SECRET])"
+    if got[2, value]:
+        assert red[2] == "see commit [SECRET] of it, and bearer [SECRET] too"
+
+
+def test_values_with_characters_of_patterns(spark, docs_of):
+    from millrace.llm import secrets
+
+    value = r"aB3\E$1(x9K.q[Zz7*Lm2+Qw8|Rt5Yv"
+    red = secrets.redact(docs_of([(1, f"password={value} end")]), mask=r"<$0\1>").first().text
+    assert red in (rf"password=<$0\1> end", f"password={value} end")
+
+
+def test_columns_of_any_name_stay(odd_docs):
+    from millrace.llm import secrets
+
+    assert secrets.redact(odd_docs).columns == odd_docs.columns

@@ -65,3 +65,18 @@ def test_documents_as_the_library_encodes_them(odd_docs, no_docs, library, docs_
         assert r.decoded == library.decode(list(r.ids))
         if "▁" not in (r.text or ""):
             assert r.decoded == (r.text or "")
+
+
+def test_blocks_and_cuts(spark, pieces, library, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    rows = [(k, " ".join("".join(rng.choices("abcdeéß日.,!qz", k=rng.randint(0, 14))) for _ in range(rng.randint(0, 30)))) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(sp, "BLOCK_ROWS", 7)
+    got = {r.id: list(r.ids) for r in sp.encode(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert got == {k: library.encode(t) for k, t in rows}
+    for _, t in rows:
+        assert "".join(pieces.units(t)) == (sp.SPACE + t.replace(" ", sp.SPACE) if t else "")
+
+
+def test_large_ids_beside_nulls(odd_docs):
+    assert {2**60 + 1, None} <= {r.id for r in sp.encode(odd_docs).collect()}

@@ -74,3 +74,11 @@ def test_odd_rows(spark, learned, odd_docs, no_docs):
     assert toxicity.judge(odd_docs, spark.createDataFrame([], "doc_id long, toxic int")).count() == len(ODD)
     assert toxicity.judge(odd_docs, spark.createDataFrame([(1, None), (4, 1), (4, 0), (None, 1)], "doc_id long, toxic int")).count() == len(ODD)
     assert toxicity.judge(no_docs, y).count() == 0
+
+
+def test_columns_of_any_name_stay(odd_docs):
+    got = toxicity.score(odd_docs, toxicity.Lexicon({"same": 3.0}))
+    assert got.columns == odd_docs.columns and got.count() == odd_docs.count()
+    assert got.where("x = 1 AND _text = 1").count() == odd_docs.count()
+    by = {r.doc_id: r.score for r in got.collect()}
+    assert 2**60 + 1 in by and by[6] > by[4] == by[2]

@@ -48,3 +48,49 @@ def test_refresh_targets_go_to_the_end_of_the_attribute(spark):
     ]
     got = {i: r.verdict for i, r in verdicts(spark, rows).items()}
     assert {i for i, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 7}
+
+
+def test_aliases_against_brute_force(spark):
+    """Random chains, hubs and pairs of aliases, absolute and relative, against union-find in Python."""
+    import random
+
+    rng = random.Random(6)
+    hosts = ["a.org", "b.example.net", "c.com", "d.net", "e.example.com", "f.example.net", "g.de"]
+    where = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'fr'])}/p{k}?a=1&b={k}" for k in range(60)]
+    pages, edges = [], []
+    for k, url in enumerate(where):
+        html, links = "<html>", []
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            to = where[0] if rng.random() < 0.3 else rng.choice(where)
+            same = to.split("/")[2] == url.split("/")[2]
+            shown = ("/" + to.split("/", 3)[3] if same and rng.random() < 0.5 else to).replace("&", "&amp;")
+            html += rng.choice([f'<LINK href="{shown}" rel=canonical>', f"<link rel='canonical' href='{shown}#top'>", f'<meta http-equiv="Refresh" content="0; URL={shown}">', f"<meta content='5;url={shown}' http-equiv=refresh>"])
+            links.append(to)
+        pages.append((k, url, html))
+        edges += [(url, to) for to in links]
+    pages += [(60, None, "<link rel=canonical href=http://d.net/>"), (61, "no url", "x"), (62, where[3], None), (None, where[4], "")]
+    up = {u: u for u in where}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[find(a)] = find(b)
+
+    def rule(url):
+        if not url or "://" not in url:
+            return None
+        host, path = url.split("/")[2], "/" + url.split("/", 3)[3].split("?")[0]
+        fits = [(h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits, key=lambda f: len(f[0])) if fits else None
+
+    bad = {find(u) for u in where if (rule(u) or ("", ""))[1] == "block"}
+    want = []
+    for k, url, _ in pages:
+        own = rule(url)
+        want.append((k, own[0] if own else None, own[1] if own else "block" if url in up and find(url) in bad else "allow"))
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), urls.RULES)
+    assert sorted(map(tuple, got.select("id", "rule", "verdict").collect()), key=repr) == sorted(want, key=repr)
+    assert any(r is None and v == "block" for _, r, v in want)

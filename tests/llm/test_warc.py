@@ -52,3 +52,31 @@ def test_nothing(pages):
     assert warc.archive(pages[0].limit(0)).count() == 0
     with pytest.raises(ValueError):
         warc.parse(b"HTTP/1.1 200\r\n\r\nx")
+
+
+def test_null_and_repeated_ids(spark):
+    import hashlib
+    from collections import Counter
+
+    big, other = "x" * 1500, "y" * 1500
+    rows = [(1, big), (2, big), (2, big), (None, big), (3, other), (3, big + "z"), (4, big + "z"), (None, None), (None, "w" * 1200), (5, ""), (5, ""), (2**60 + 1, other), (6, "é" * 600)]
+    df = spark.createDataFrame([(i, f"http://a/{k}", t) for k, (i, t) in enumerate(rows)], "page_id long, url string, html string")
+    want = Counter()
+    for i, t in rows:
+        data = (t or "").encode()
+        ids = [j for j, u in rows if u == t and j is not None]
+        to = max(ids) if len(data) >= 1000 and ids and sum(u == t for _, u in rows) > 1 and i != max(ids) else None
+        want[i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if to else "response", to] += 1
+    got = Counter(tuple(r) for r in warc.archive(df).select("id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())
+    assert got == want
+
+
+def test_long_payloads_and_reading_tasks(spark, tmp_path):
+    import random
+
+    rng = random.Random(1)
+    df = spark.createDataFrame([(k, "http://a", rng.randbytes(3_000_000 if k < 2 else 20_000).hex()) for k in range(12)], "page_id long, url string, html string")
+    index = warc.write(df, f"file://{tmp_path}/w")
+    got = warc.read_records(index, f"file://{tmp_path}/w", with_payload=True)
+    assert {r.id: bytes(r.payload).decode() for r in got.collect()} == {r.page_id: r.html for r in df.collect()}
+    assert got.rdd.getNumPartitions() > 1 or index.agg({"length": "sum"}).first()[0] < warc.STRETCH
