@@ -225,3 +225,23 @@ TASKS = {"testing": "testing", "test": "testing", "tests": "testing", "test_gene
 def resolve_task(c: Column | str) -> Column:
     known = F.create_map(*[F.lit(x) for kv in TASKS.items() for x in kv])
     return F.element_at(known, F.regexp_replace(F.lower(strip(c)), "[ -]+", "_"))
+
+
+def class_name(c: Column | str) -> Column:
+    """The first public class of generated Java, else the first class; empty without one."""
+    t = strip_fence(c)
+    public = F.regexp_extract(t, r"\bpublic\s+(?:final\s+|abstract\s+)?class\s+([A-Za-z_$][A-Za-z0-9_$]*)", 1)
+    return F.when(public != "", public).otherwise(F.regexp_extract(t, r"\bclass\s+([A-Za-z_$][A-Za-z0-9_$]*)", 1))
+
+
+def package_name(c: Column | str) -> Column:
+    """The package of generated Java, empty without one."""
+    return F.regexp_extract(strip_fence(c), r"(?m)^\s*package\s+([A-Za-z_$][A-Za-z0-9_$.]*)\s*;", 1)
+
+
+def scalar_kind(c: Column | str) -> Column:
+    """What a literal of a command line is: bool, int, float or str; null for null."""
+    t = col(c)
+    low = F.lower(strip(t))
+    whole = t.try_cast("bigint").isNotNull() & ~F.contains(t, F.lit("."))
+    return F.when(low.isin("true", "false"), "bool").when(whole, "int").when(t.try_cast("double").isNotNull() & t.rlike(r"^\s*[-+]?[0-9.]"), "float").when(t.isNotNull(), "str")

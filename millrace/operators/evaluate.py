@@ -143,6 +143,19 @@ def top_groups(df: DataFrame, by: str, item: str, value: str, n: int = 5) -> Dat
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def layer_norms(modules: DataFrame, models: Sequence[str], layer: str = "layer", model: str = "model", value: str = "norm") -> DataFrame:
+    """One row per layer from 0 on: sum, mean, max and count of the modules' norms of each model, wide by model."""
+    rows = modules.where(F.col(layer) >= 0).groupBy(layer).pivot(model, list(models))
+    return rows.agg(F.sum(value).alias("sum"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.count(value).alias("n"))
+
+
+def samples(rows: DataFrame, per: int = 2, most: int = 6, clip: int = 2000, model: str = "model_name", order: str = "id", texts: Sequence[str] = ("input", "expected_output", "prediction")) -> DataFrame:
+    """Rows to show: the first ``per`` of each model, ``most`` in all, long texts clipped."""
+    w = Window.partitionBy(model).orderBy(order)
+    top = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per).orderBy(model, order).limit(most).drop("_r")
+    return top.withColumns({c: F.substring(c, 1, clip) for c in texts if c in rows.columns})
+
+
 def module_norms(modules: DataFrame, a: str = "lora_a", b: str = "lora_b") -> DataFrame:
     """Norms of both factors, of their product's bound and of the product, for matrices as arrays of rows."""
     flat = lambda c: vector.norm(F.flatten(F.col(c)))

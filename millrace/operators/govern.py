@@ -144,6 +144,15 @@ def smoke_problems(cases: DataFrame) -> DataFrame:
     return own.unionAll(cases.groupBy("id").count().where("count > 1").select("id", F.lit("repeated id").alias("problem")))
 
 
+def smoke_suite(cases: DataFrame, total: int = 24, per_cell: int = 4, tasks: Sequence[str] = ("testing", "refactoring"), difficulties: Sequence[str] = ("easy", "medium", "hard")) -> list[str]:
+    """What is wrong with the suite as a whole: its size, the cases of each task and difficulty, ids and sources that repeat."""
+    n, ids, codes = cases.agg(F.count("*"), F.count_distinct("id"), F.count_distinct(java_hash("source_code"))).first()
+    out = [f"{n} cases instead of {total}"] * (n != total) + [f"{n - ids} ids repeat"] * (ids != n) + [f"{n - codes} sources repeat"] * (codes != n)
+    found = {(r[0], r[1]): r[2] for r in cases.groupBy("task", "difficulty").count().collect()}  # a row for each task and difficulty
+    out += [f"{found.get((t, d), 0)} cases of {t}, {d} instead of {per_cell}" for t in tasks for d in difficulties if found.get((t, d), 0) != per_cell]
+    return out + [f"unknown task or difficulty: {t}, {d}" for t, d in sorted(found, key=str) if t not in tasks or d not in difficulties]
+
+
 def smoke_leakage(cases: DataFrame, retrieval: Mapping[str, DataFrame], collections: Mapping[str, Sequence[str]]) -> DataFrame:
     """(collection, tasks, indexed, cases, overlaps, safe): each collection's samples against the smoke cases of its tasks.
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.filters import should_run
+from millrace.operators.retrieve import generate
 
 
 def latest(runs: DataFrame, key: Sequence[str] = ("run_id",), attempt: str = "attempt", order: str = "ordinal") -> DataFrame:
@@ -24,6 +25,18 @@ def plan(cells: DataFrame, history: DataFrame, key: Sequence[str] = ("run_id",),
     return cells.join(last, list(key), "left").withColumn("runs", should_run("last_status", force, retry_failed))
 
 
+def run(cells: DataFrame, history: DataFrame, model: Callable, now: str, key: Sequence[str] = ("run_id",), force: bool = False, retry_failed: bool = False) -> DataFrame:
+    """The records of the cells that run now: output, status, error, attempt (one more than the last) and time.
+
+    A cell that fails is a row with its error and doesn't end the others; append the rows to the history to resume later. cells: the key,
+    prompt and other columns.
+    """
+    todo = plan(cells, history, key, force, retry_failed).where("runs").drop("runs", "last_status")
+    tries = history.groupBy(*key).agg(F.max("attempt").alias("_a"))
+    ready = todo.join(tries, list(key), "left").withColumn("attempt", F.coalesce(F.col("_a"), F.lit(0)) + 1).drop("_a")
+    return generate(ready, model).withColumn("started_at", F.lit(now))
+
+
 def summary(runs: DataFrame, by: Sequence[str] = ("task", "mode")) -> DataFrame:
     return runs.groupBy(*by).agg(
         F.count_if(F.col("status") == "success").alias("success"), F.count_if(F.col("status") == "failed").alias("failed"), F.round(F.avg("score"), 6).alias("average_score")

@@ -47,8 +47,9 @@ def repository(c: Column | str) -> Column:
     return F.substring_index(col(c), "/commit/", 1)
 
 
-def group_key(level: str, **fields: Column) -> Column:
-    """Array of the parts that name a record's group; null where none is known. Null and blank parts are left out."""
+def group_key(level: str, required: bool = False, **fields: Column) -> Column:
+    """Array of the parts that name a record's group; null where none is known (``required``: an error when the row is
+    computed). Null and blank parts are left out."""
     get = lambda *ks: F.coalesce(*[F.nullif(F.lower(strip(fields[k].cast("string"))), F.lit("")) for k in ks if k in fields], F.lit(None).cast("string"))
     folder = F.nullif(F.lower(F.element_at(F.split(fields["source_file"], "/"), -2)), F.lit("")) if "source_file" in fields else F.lit(None).cast("string")
     project = F.coalesce(get("project", "project_id"), folder)
@@ -56,7 +57,8 @@ def group_key(level: str, **fields: Column) -> Column:
     commit, method = get("commit_sha", "commit"), get("method_id", "case_id", "refactoring_id")
     parts = {"project": [repo, project], "repository": [repo], "commit": [repo, commit], "method": [repo, project, commit, method]}[level]
     key = F.filter(F.array(*parts), lambda x: x.isNotNull())
-    return F.when(F.size(key) > 0, key)
+    none = F.raise_error(F.lit(f"a record without any part of a {level} group")) if required else F.lit(None)
+    return F.when(F.size(key) > 0, key).otherwise(none)
 
 
 def order_key(seed: int, *cols: Column | str) -> Column:

@@ -651,6 +651,22 @@ def prediction_records(spark: SparkSession, d: str) -> DataFrame:
     return records.predictions(t, "testing", "m", "doc_id").select("id", "model_name", "task", "input", "expected_output", "prediction")
 
 
+@query("""SELECT label % 3 AS layer, sum(n) FILTER (m = 'a') AS a_sum, max(n) FILTER (m = 'a') AS a_max, count(n) FILTER (m = 'a') AS a_n, sum(n) FILTER (m = 'b') AS b_sum, max(n) FILTER (m = 'b') AS b_max, count(n) FILTER (m = 'b') AS b_n
+FROM (SELECT label, CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS m, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 3) AS n FROM embeddings) GROUP BY 1""".replace("sum(n) FILTER (m = 'a')", "round(sum(n) FILTER (m = 'a'), 4)").replace("sum(n) FILTER (m = 'b')", "round(sum(n) FILTER (m = 'b'), 4)"))
+def layer_norms(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "embeddings").select((F.col("label") % 3).alias("layer"), F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b").alias("model"), F.round(vector.norm("embedding"), 3).alias("norm"))
+    r = evaluate.layer_norms(e, ["a", "b"])
+    return r.select("layer", F.round("a_sum", 4).alias("a_sum"), "a_max", "a_n", F.round("b_sum", 4).alias("b_sum"), "b_max", "b_n")
+
+
+@query("""WITH t AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN ' TRUE' WHEN 1 THEN user_id::VARCHAR WHEN 2 THEN round(value, 2)::VARCHAR WHEN 3 THEN event_type WHEN 4 THEN '1e3' END AS v FROM events)
+SELECT event_id, CASE WHEN lower(trim(v)) IN ('true', 'false') THEN 'bool' WHEN TRY_CAST(v AS BIGINT) IS NOT NULL AND v NOT LIKE '%.%' AND v NOT LIKE '%e%' THEN 'int' WHEN TRY_CAST(v AS DOUBLE) IS NOT NULL THEN 'float' WHEN v IS NOT NULL THEN 'str' END AS kind FROM t""")
+def literal_kinds(spark: SparkSession, d: str) -> DataFrame:
+    k, v = F.col("event_id") % 6, F.col("value")
+    t = F.when(k == 0, " TRUE").when(k == 1, F.col("user_id").cast("string")).when(k == 2, F.round(v, 2).cast("string")).when(k == 3, F.col("event_type")).when(k == 4, "1e3")
+    return read(spark, d, "events").select("event_id", text.scalar_kind(t).alias("kind"))
+
+
 @query("""SELECT n_name, o_orderstatus, count(*) AS orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey
 JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON n_nationkey = c_nationkey WHERE l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY 1, 2""")
 def star_revenue(spark: SparkSession, d: str) -> DataFrame:

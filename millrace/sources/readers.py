@@ -109,6 +109,13 @@ def zip_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "archive string, member string, content string")
 
 
+def storage_members(members: DataFrame) -> DataFrame:
+    """Members below the first (by name) ``output/<name>/storage/`` folder of their archive, with ``file``, their path in it."""
+    found = members.withColumn("_root", F.nullif(F.regexp_extract("member", r"^((?:.*/)?output/[^/]+/storage/)", 1), F.lit(""))).where("_root IS NOT NULL")
+    first = found.groupBy("archive").agg(F.min("_root").alias("_root"))
+    return found.join(first, ["archive", "_root"]).withColumn("file", F.substr("member", F.length("_root") + 1)).drop("_root")
+
+
 def before_after(members: DataFrame) -> DataFrame:
     """Pairs of a commit's before and after trees, joined on path: members named ``<commit>/before|after/<path>``."""
     m = members.withColumns({"commit": F.regexp_extract("member", r"([^/]+)/(?:before|after)/", 1), "side": F.regexp_extract("member", r"/(before|after)/", 1), "file": F.regexp_extract("member", r"/(?:before|after)/(.*)$", 1)})
@@ -248,8 +255,8 @@ def manifest_matches(spark: SparkSession, path: str, digest: str, rows: int, df:
         raise ContractError(f"the source has {n} rows, its manifest {rows}")
 
 
-def config(path: str) -> dict:
-    """A YAML file with ``defaults:`` files merged in below it. Needs PyYAML."""
+def config(path: str, required: tuple[str, ...] = ()) -> dict:
+    """A YAML file with ``defaults:`` files merged in below it; a lacking ``required`` key (dotted) is an error. Needs PyYAML."""
     try:
         import yaml
     except ImportError as e:
@@ -264,7 +271,19 @@ def config(path: str) -> dict:
     base: dict = {}
     for name in own.pop("defaults", []):
         base = merge(base, config(str(Path(path).parent / name)))
-    return merge(base, own)
+    out = merge(base, own)
+    require_keys(out, required)
+    return out
+
+
+def require_keys(of: dict, dotted: tuple[str, ...]) -> None:
+    """An error that names the dotted keys that a nested dict lacks."""
+
+    def has(d: object, names: list[str]) -> bool:
+        return not names or (isinstance(d, dict) and names[0] in d and has(d[names[0]], names[1:]))
+
+    if missing := [k for k in dotted if not has(of, k.split("."))]:
+        raise ContractError(f"the configuration lacks {', '.join(missing)}")
 
 
 def column_or_null(df: DataFrame, name: str, kind: str = "string") -> Column:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Mapping
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.filters import ContractError
+from millrace.operators.index import write_text
+
 
 def flat_columns(schema: T.StructType, prefix: str = "") -> dict[str, Column]:
     """Leaf columns by dotted name; arrays and maps as JSON."""
@@ -39,9 +46,21 @@ def append_runs(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def write_fingerprints(docs: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The identities and fingerprints of documents, a JSON object a line, as a later audit reads them."""
+    write_jsonl(docs.select("knowledge_id", "identity", "canonical", "fingerprint"), path, mode)
+
+
+def write_report(spark: SparkSession, path: str, report: Mapping[str, Any]) -> None:
+    """A small report (an audit, a manifest, a leakage report) as one JSON file."""
+    write_text(spark, path, json.dumps(report, ensure_ascii=False, indent=2, sort_keys=True) + "\n")
+
+
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
-    """A small result as Markdown."""
-    rows = df.limit(most).collect()
+    """A small result as Markdown; more than ``most`` rows are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ContractError(f"a table of more than {most} rows")
     show = lambda x: "" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in rows])

@@ -4,10 +4,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import identity
+from millrace.functions import identity, text
 from millrace.functions.text import WHITE
-from millrace.operators import build, chunk, govern, index, knowledge, leakage, prompt, records, retrieve
+from millrace.operators import build, chunk, evaluate, govern, index, knowledge, leakage, prep, prompt, records, retrieve
 from millrace.operators.filters import ContractError, specific_identity
+from millrace.sources import readers, writers
 
 RECORD = "ordinal long, domain string, input string, output string, source string, repository string, id string, context_level string, refactoring_type string"
 
@@ -279,3 +280,57 @@ def test_budget_of_large_groups_is_that_of_a_plain_fold(spark):
 
 def test_white_space_list():
     assert len(set(WHITE)) == len(WHITE) and all(c.isspace() for c in WHITE)
+
+
+def test_generated_java_names(spark):
+    df = spark.createDataFrame([("```java\npackage a.b;\nclass X {}\npublic final class Y {}\n```",), ("class Z {}",), ("",)], "t string")
+    assert [tuple(r) for r in df.select(text.class_name("t"), text.package_name("t")).collect()] == [("Y", "a.b"), ("Z", ""), ("", "")]
+    assert df.select(writers.prompt_names(F.lit("a/b c-1_é"), F.lit("p"))).first()[0] == "a_b_c-1_é-" + sha("p")[:12]
+
+
+def test_written_reports(spark, docs, tmp_path):
+    writers.write_fingerprints(docs, str(tmp_path / "f"))
+    back = spark.read.json(str(tmp_path / "f"))
+    assert back.count() == 12 and set(back.columns) == {"knowledge_id", "identity", "canonical", "fingerprint"}
+    writers.write_report(spark, str(tmp_path / "r.json"), {"b": 1, "a": [2]})
+    assert json.loads(index.read_text(spark, str(tmp_path / "r.json"))) == {"a": [2], "b": 1}
+    with pytest.raises(ContractError):
+        writers.markdown_table(docs.select("task"), most=3)
+
+
+def test_matrix_runs_what_is_open(spark):
+    from millrace.operators import matrix
+
+    def model(ps):
+        if ps == ["boom"]:
+            raise ValueError("no")
+        return [p.upper() for p in ps]
+
+    cells = spark.createDataFrame([(1, "a"), (2, "boom"), (3, "c")], "run_id int, prompt string")
+    done = spark.createDataFrame([(1, 1, 1, "success"), (2, 2, 2, "failed")], "run_id int, attempt int, ordinal int, status string")
+    got = {r.run_id: r for r in matrix.run(cells, done, model, "t").collect()}
+    assert set(got) == {3} and got[3].output == "C" and got[3].attempt == 1
+    got = {r.run_id: r for r in matrix.run(cells, done, model, "t", force=True).collect()}
+    assert got[2].status == "failed" and "no" in got[2].error and (got[1].attempt, got[2].attempt) == (2, 3)
+
+
+def test_samples_and_suites(spark):
+    rows = spark.createDataFrame([(f"m{k % 5}", k, "x" * 3000) for k in range(20)], "model_name string, id int, prediction string")
+    got = evaluate.samples(rows).collect()
+    assert [(r.model_name, r.id) for r in got] == [("m0", 0), ("m0", 5), ("m1", 1), ("m1", 6), ("m2", 2), ("m2", 7)] and all(len(r.prediction) == 2000 for r in got)
+    suite = [(f"{t}{d}{k}", t, d, f"int f{t}{d}{k}() {{}}") for t in ("testing", "refactoring") for d in ("easy", "medium", "hard") for k in range(4)]
+    kinds = "id string, task string, difficulty string, source_code string"
+    assert govern.smoke_suite(spark.createDataFrame(suite, kinds)) == []
+    assert len(govern.smoke_suite(spark.createDataFrame([*suite[1:], suite[5]], kinds))) == 4
+
+
+def test_storage_members_and_keys(spark):
+    df = spark.createDataFrame([("z", m, m) for m in ("p/output/b/storage/x/A.java", "p/output/a/storage/x/B.java", "p/output/a/other/C.java", "D.java")], "archive string, member string, content string")
+    assert [(r.member, r.file) for r in readers.storage_members(df).collect()] == [("p/output/a/storage/x/B.java", "x/B.java")]
+    readers.require_keys({"a": {"b": None}}, ("a.b", "a"))
+    with pytest.raises(ContractError, match="a.c, d"):
+        readers.require_keys({"a": {"b": 1}}, ("a.c", "a.b", "d"))
+    key = prep.group_key("commit", required=True, repository=F.col("archive"), commit=F.lit(" "))
+    assert df.select(key).first()[0] == ["z"]
+    with pytest.raises(Exception, match="without any part"):
+        df.select(prep.group_key("repository", required=True, repository=F.lit(" "))).collect()
