@@ -320,7 +320,7 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     """(id, ids, text) with ids the piece ids of the text. Null and empty texts have no ids (text stays as it is).
 
     Whole texts are encoded, whatever their length. Rows with null or repeated ids keep their rows; extra columns are ignored.
-    An empty table gives an empty result. ``then`` may turn the batches of (id, ids, text) into others of ``schema`` in the
+    An empty table gives an empty result. The dictionaries are read when the result is; ``drop`` of it deletes them. ``then`` may turn the batches of (id, ids, text) into others of ``schema`` in the
     same worker, so that ids and texts don't travel further.
     """
     import pyarrow as pa
@@ -463,7 +463,9 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([part.column("id"), ids, part.column("text")], ["id", "ids", "text"])
                 lo = hi
 
-    return src.mapInArrow((lambda batches: then(look_up(batches))) if then else look_up, schema)
+    out = src.mapInArrow((lambda batches: then(look_up(batches))) if then else look_up, schema)
+    out._millrace_path = folder
+    return out
 
 
 def decode(rows: DataFrame, model: str | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -491,4 +493,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
             crc = [zlib.crc32(r.astype("<u4").tobytes()) for r in rows]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(map(len, rows)), pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
 
-    return encode(read(spark, sf_dir, "documents"), then=digests, schema="doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
+    rows = encode(read(spark, sf_dir, "documents"), then=digests, schema="doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
+    out = table(rows, "encoded")
+    drop(rows)
+    return out
