@@ -159,9 +159,13 @@ def candidates(text: Column, path: Column, forest: Forest, context: int = 40) ->
 
     Every place of a candidate is judged by the text in front of it; the candidate has its places' highest score.
     """
-    every = F.lit("|".join(f"(?:{p})" for p in RULES.values()))
+    every = "|".join(f"(?:{p})" for p in RULES.values())
     value_of = f"^{NAME}"
-    found = F.struct(F.regexp_extract_all(text, every, F.lit(0)).alias("raw"), F.split(text, "|".join(f"(?:{p})" for p in RULES.values()), -1).alias("between"))
+    raw = F.regexp_extract_all(text, F.lit(every), F.lit(0))
+
+    def between(r: Column) -> Column:
+        # most texts have no candidate, and are not gone through again
+        return F.struct(r.alias("raw"), F.when(F.size(r) > 0, F.split(text, every, -1)).alias("between"))
 
     def places(f: Column) -> Column:
         # what stands before a place: the text since the place before it, and that place's own end
@@ -194,7 +198,7 @@ def candidates(text: Column, path: Column, forest: Forest, context: int = 40) ->
         return F.transform(distinct, lambda x: F.struct(x["rule"].alias("rule"), x["value"].alias("value"), best(x).alias("score")))
 
     # transform over one-element arrays names a value once, so it isn't computed for each use
-    placed = F.flatten(F.transform(F.array(found), places))
+    placed = F.flatten(F.transform(F.transform(F.array(raw), between), places))
     judged = F.transform(F.transform(F.transform(F.transform(placed, name), look), measure), judge)
     return F.flatten(F.transform(F.array(judged), once))
 
