@@ -66,7 +66,7 @@ def test_rounding_is_half_up_on_digits(spark):
 
 
 #: Queries that search vectors.
-SEARCHES = ["vector_topk", "l2_topk", "collection_topk"]
+SEARCHES = ["vector_topk", "l2_topk", "collection_topk", "metadata_filter_topk"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)
