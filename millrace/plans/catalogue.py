@@ -213,9 +213,9 @@ def rrf_no_overlap(spark: SparkSession, d: str) -> DataFrame:
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Fusion with transitive de-duplication: copies of a text in several collections are one item."""
     q, docs = _vectors(spark, d)
-    texts = read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
+    texts = read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), text.content_identity("text").alias("identity"))
     hits = retrieve.top_k(q, docs, 5, by=["label"]).withColumn("collection", F.col("label").cast("string")).join(texts, "document_id")
-    out = retrieve.fuse(hits).select("query_id", "document_id", F.round("rrf_score", 9).alias("rrf_score"), F.col("final_rank").cast("long").alias("final_rank"))
+    out = retrieve.fuse(hits, identity="identity").select("query_id", "document_id", F.round("rrf_score", 9).alias("rrf_score"), F.col("final_rank").cast("long").alias("final_rank"))
     return out.where("final_rank <= 10")
 
 

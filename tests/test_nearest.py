@@ -65,8 +65,20 @@ def test_rounding_is_half_up_on_digits(spark):
     assert nearest.rounded(np.array(xs)).tolist() == want
 
 
+def test_fusion_needs_no_texts(spark):
+    """Identities in place of contents give the same, and hits of a query go through Python as one row."""
+    from millrace.functions import text
+
+    rng = random.Random(8)
+    rows = [(q, c, r, f"d{rng.randint(0, 9)}", f"text {rng.randint(0, 6)} ", round(rng.random(), 2)) for q in range(6) for c in "abc" for r in range(1, 6)]
+    hits = spark.createDataFrame(rows, "query_id int, collection string, rank int, document_id string, content string, score double")
+    given = hits.withColumn("identity", text.content_identity("content")).drop("content")
+    assert shown(retrieve.fuse(given, identity="identity")) == shown(retrieve.fuse(hits))
+    assert "FlatMapGroups" not in retrieve.fuse(hits)._jdf.queryExecution().executedPlan().toString()
+
+
 #: Queries that search vectors.
-SEARCHES = ["vector_topk", "l2_topk", "collection_topk", "metadata_filter_topk"]
+SEARCHES = ["vector_topk", "l2_topk", "collection_topk", "metadata_filter_topk", "rrf_fusion"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)
