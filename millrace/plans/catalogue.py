@@ -228,9 +228,9 @@ go AS (SELECT query_id, k, document_id, final_rank, tokens, tokens <= 1500 AS ke
 SELECT query_id, document_id, final_rank, tokens FROM go WHERE kept""")
 def flagship_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Search every collection, fuse the ranks, and fill a budget of 1500 tokens with the documents found."""
-    texts = read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
+    texts = read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), text.estimated_tokens("text", 1).alias("cost"))
     hits = _fused(spark, d).join(texts, "document_id")
-    out = retrieve.fit_budget(hits, 1500)
+    out = retrieve.fit_budget(hits, 1500, cost=F.col("cost"), whole=True)
     return out.select("query_id", "document_id", F.col("final_rank").cast("long").alias("final_rank"), F.col("tokens").cast("long").alias("tokens"))
 
 

@@ -77,8 +77,21 @@ def test_fusion_needs_no_texts(spark):
     assert "FlatMapGroups" not in retrieve.fuse(hits)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_budget_of_whole_rows(spark):
+    rng = random.Random(9)
+    rows = [(g, k, rng.choice([0, 1, 3, 20, 60, 200])) for g in range(9) for k in range(30)]
+    df = spark.createDataFrame(rows, "query_id int, final_rank int, n int")
+    one = retrieve.fit_budget(df, 100, cost=F.col("n"), whole=True)
+    assert shown(one) == shown(retrieve.fit_budget(df, 100, cost=F.col("n"))) and len(one.columns) == 4
+
+
+def test_flagship_searches_once(spark):
+    plan = catalogue.QUERIES["flagship_retrieval"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 #: Queries that search vectors.
-SEARCHES = ["vector_topk", "l2_topk", "collection_topk", "metadata_filter_topk", "rrf_fusion"]
+SEARCHES = ["vector_topk", "l2_topk", "collection_topk", "metadata_filter_topk", "rrf_fusion", "flagship_retrieval"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)
