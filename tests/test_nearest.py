@@ -91,7 +91,7 @@ def test_flagship_searches_once(spark):
 
 
 #: Queries that search vectors.
-SEARCHES = ["vector_topk", "l2_topk", "collection_topk", "metadata_filter_topk", "rrf_fusion", "flagship_retrieval", "rrf_no_overlap", "used_in_prompt", "context_render"]
+SEARCHES = ["vector_topk", "l2_topk", "collection_topk", "metadata_filter_topk", "rrf_fusion", "flagship_retrieval", "rrf_no_overlap", "used_in_prompt", "context_render", "context_selection"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)
