@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import drop, read, table
+from millrace.llm.common import KEPT, drop, read, release, table
 
 if TYPE_CHECKING:
     import pyarrow as pa
@@ -130,9 +130,10 @@ _CODERS: dict[str, Coder] = {}
 
 
 def coder(path: str) -> Coder:
-    """The worker's coder for a tokenizer file; made once."""
+    """The worker's coder for a tokenizer file; made once, and gone when another operator's task begins (:func:`release`)."""
     if path not in _CODERS:
         _CODERS[path] = Coder(path)
+        KEPT["packing"] = _CODERS.clear
     return _CODERS[path]
 
 
@@ -149,6 +150,7 @@ def pieces(docs: DataFrame, size: int = 4096, tokenizer: str | None = None, end_
 
         schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         schema = schema.append(pa.field("token_ids", pa.list_(pa.int64()))) if with_ids else schema
+        release("packing")
         code = coder(path)
         for b in batches:
             rows: list[tuple] = []

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import drop, read, table
+from millrace.llm.common import drop, read, release, table
 
 #: Look-alike characters and the letters they stand for.
 HOMOGLYPHS = {
@@ -69,6 +69,16 @@ class Lexicon:
         return a
 
 
+def needed(weights: dict[str, float]) -> dict[str, float]:
+    """The terms that can set a place's weight: without those under a prefix that weighs as much, since the largest counts."""
+
+    def under(t: str, w: float) -> bool:
+        letters = t.removesuffix("*")
+        return any(weights.get(f"{letters[:k]}*", w - 1) >= w for k in range(1, len(letters) + (letters == t)))
+
+    return {t: w for t, w in weights.items() if not under(t, w)}
+
+
 def hits(automaton, text: str) -> dict[int, float]:
     """Weights of the words of a folded text that match, by the place of the space before the word."""
     found: dict[int, float] = {}
@@ -142,9 +152,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000, min_su
     t, c = F.col("t") + 0.5, F.coalesce("n", F.lit(0)) + 0.5
     w = F.log(t / (n_toxic + 1)) - F.log(c / (n_clean + 1)) - 2 * F.sqrt(1 / t + 1 / c)
     weighed = support.join(against, "term", "left").select("term", w.alias("w")).where(F.col("w") >= min_weight).toPandas()
-    lex = Lexicon(dict(zip(weighed["term"], weighed["w"].astype(float), strict=True)))
+    lex = Lexicon(needed(dict(zip(weighed["term"], weighed["w"].astype(float), strict=True))))
 
     def around(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release("toxicity")
         auto = lex.automaton()
         for p in parts:
             rows = []
@@ -173,6 +184,7 @@ def level_of(text: Column, lex: Lexicon) -> Column:
 
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release("toxicity")
         auto = lex.automaton()
         for p in parts:
             yield pd.Series([level(sum(hits(auto, t).values()), t.count(" ")) if isinstance(t, str) else 0.0 for t in p], dtype=float)

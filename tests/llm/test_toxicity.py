@@ -82,3 +82,40 @@ def test_columns_of_any_name_stay(odd_docs):
     assert got.where("x = 1 AND _text = 1").count() == odd_docs.count()
     by = {r.doc_id: r.score for r in got.collect()}
     assert 2**60 + 1 in by and by[6] > by[4] == by[2]
+
+
+def test_terms_under_a_prefix_are_not_needed():
+    rng = random.Random(2)
+    for _ in range(100):
+        terms = {"".join(rng.choices("ab", k=rng.randint(1, 5))) + rng.choice(["", "*"]): rng.choice([1.0, 2.0, 3.0]) for _ in range(12)}
+        few = toxicity.needed(terms)
+        a, b = toxicity.Lexicon(terms, ["ab ba"]).automaton(), toxicity.Lexicon(few, ["ab ba"]).automaton()
+        for _ in range(20):
+            text = f" {' '.join(''.join(rng.choices('ab', k=rng.randint(1, 6))) for _ in range(10))} "
+            assert toxicity.hits(a, text) == toxicity.hits(b, text)
+    assert toxicity.needed({"ab*": 2.0, "abc": 2.0, "abc*": 1.0, "abd": 3.0, "ab": 2.0}) == {"ab*": 2.0, "abd": 3.0}
+
+
+def test_workers_let_go_of_the_memo_of_packing(learned, docs_of):
+    """A worker that packed before keeps no words while texts are scored."""
+    from pyspark.sql import functions as F
+
+    from millrace.llm import packing
+
+    lex = learned[3]
+    packing.coder(packing.tokenizer_path())(["some words"])
+    level = toxicity.level_of(F.lit(""), lex)
+    assert packing._CODERS and level is not None
+    toxicity.release("toxicity")
+    assert not packing._CODERS
+    docs = docs_of([(k, "a vexoid text") for k in range(8)])
+
+    def left(parts):
+        import pandas as pd
+
+        for p in parts:
+            yield pd.DataFrame({"n": [len(packing._CODERS)] * len(p)})
+
+    packing.pieces(docs).collect()
+    toxicity.score(docs, lex).collect()
+    assert {r.n for r in docs.mapInPandas(left, "n long").collect()} == {0}
